@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history
+from tidemark.llm import history, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -19,9 +19,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_verdicts(spark, d).filter(F.col("reason").isNotNull()).select("arrival_id").distinct()
 
 
+def sites(spark: SparkSession, d: str) -> DataFrame:
+    return residue.store_sites(runtime.table(spark, d, "captures"), runtime.table(spark, d, "incoming"))
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every blob with its numbers of message lines and lines of its own, and the verdict."""
+    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("id"), "store_path", F.col("body").alias("text"))
+    return residue.residue(blobs.join(sites(spark, d), "store_path", "left")).withColumnRenamed("id", "blob_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Blobs that hold residue instead of content."""
+    return p2_files(spark, d).filter("residue").select("blob_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_verdicts": p1_verdicts,
+    "p2_found": p2_found,
+    "p2_files": p2_files,
 }
 
 SQL: dict[str, str] = {}
