@@ -74,7 +74,7 @@ FURNITURE = re.compile(
 MESSAGES = re.compile(
     "|".join(
         (
-            r"(http )?(error|fehler|erreur|ошибка)( code)? ?#.*|#? ?- ?page not found|(http )?# (internal (server )?(error|failure)|gone|not found|service unavailable|forbidden|bad gateway)|page not found|not found|gone|forbidden|unauthorized|"
+            r"(http )?(error|fehler|erreur|ошибка)( code)? ?#.*|(server error|serverfehler|erreur (du )?serveur|error del servidor|ошибка сервера)|#? ?- ?page not found|(http )?# (internal (server )?(error|failure)|gone|not found|service unavailable|forbidden|bad gateway)|page not found|not found|gone|forbidden|unauthorized|"
             r"access denied( \(?#\)?)?|bad request|gateway timeout|bad gateway|service unavailable|internal server error|something went wrong|we are sorry|whoops,? nothing here|oops!?|"
             r"seite nicht gefunden|page introuvable|página no encontrada|страница не найдена|error #|zugriff verweigert|accès refusé|acceso denegado|доступ запрещ[её]н",
             r"the page you asked for has been moved or deleted|the (requested )?(address|page|url) ?¶? ?(does not exist|was not found|could not be found).*|you do not have (leave|permission) to (open|access|view) ¶",
@@ -112,7 +112,7 @@ REFERENCE = re.compile(r"\s*\((?:ref|id|code|nr|no)\.? [^()]{1,60}\)")
 NUMBER = re.compile(r"\d[\d.,:/-]*")
 WORD = re.compile(r"[^\W\d_]+")
 LONG_TITLE = 12  # words from which a line without a full stop counts as text
-LIST_ITEM = re.compile(r"\s*(?:[-–]|\d{1,3}[.)])\s+\S")
+LIST_ITEM = re.compile(r"\s*»?\s*(?:[-–*•]|\d{1,3}[.)])\s+\S")
 QUOTES = "\"'”»“)] "
 
 
@@ -173,8 +173,6 @@ def kind(line: str) -> str:
     if not c:
         return "blank"
         return "text"  # most lines by size
-    if line.lstrip().startswith(("*", "» *", "•")) and len(c.split()) <= 4:
-        return "menu"
     if len(c) < 120 and is_menu(c):
         return "menu"
     if (len(c) < 300 and FURNITURE.fullmatch(c)) or (INNER_GATE.search(c) and INNER.search(c)):

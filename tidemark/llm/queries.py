@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history, residue
+from tidemark.llm import history, main_body, repeats, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +34,72 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_files(spark, d).filter("residue").select("blob_id")
 
 
+def html_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text) of the HTML files that are not residue."""
+    html = sites(spark, d).filter("html").select("store_path", "site")
+    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("id"), "store_path", F.col("body").alias("text"))
+    pages = blobs.join(html, "store_path")
+    left_out = residue.residue(pages).filter("residue").select("id")
+    return runtime.join_small(pages.select("id", "text"), left_out, ["id"], "left_anti")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of HTML files outside the main body."""
+    return main_body.main_body(html_pages(spark, d)).select(F.col("id").alias("blob_id"), F.explode("outside").alias("line_no"))
+
+
+def p3_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every HTML file that isn't residue."""
+    return main_body.body_text(html_pages(spark, d)).withColumnRenamed("id", "blob_id")
+
+
+def site_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, source, line_no, item, line) of every line with letters of every blob."""
+    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("doc"), "store_path", F.col("body").alias("text"))
+    return repeats.line_items(blobs.join(sites(spark, d).select("store_path", F.col("site").alias("source")), "store_path", "left"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stand in at least 10 files of their site."""
+    return repeats.repeated_lines(site_lines(spark, d)).select(F.col("doc").alias("blob_id"), "line_no")
+
+
+def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of up to three lines that stand in at least 10 files of a site."""
+    return repeats.frequent_sequences(site_lines(spark, d)).select("source", "length", F.col("example.doc").alias("doc"), F.col("example.first_line").alias("first_line"), F.col("example.last_line").alias("last_line"), "support")
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every blob without the lines repeated on its site."""
+    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("doc"), "store_path", F.col("body").alias("text"))
+    placed = blobs.join(sites(spark, d).select("store_path", F.col("site").alias("source")), "store_path", "left")
+    return repeats.remove_repeated(placed).withColumnRenamed("doc", "blob_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_verdicts": p1_verdicts,
     "p2_found": p2_found,
     "p2_files": p2_files,
+    "p3_found": p3_found,
+    "p3_body": p3_body,
+    "p6_found": p6_found,
+    "p6_sequences": p6_sequences,
+    "p6_cleaned": p6_cleaned,
 }
 
-SQL: dict[str, str] = {}
+SITES_SQL = """sites AS (
+  SELECT store_path, min(nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(trim(original_url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '[.]+$', ''), '^www[.]', ''), '')) AS site
+  FROM (SELECT store_path, original_url FROM captures UNION ALL SELECT store_path, original_url FROM incoming)
+  WHERE store_path IS NOT NULL GROUP BY store_path)"""
+
+LINES_SQL = f"""{SITES_SQL}, parts AS (
+  SELECT b.blob_id, s.site, unnest(string_split(b.body, chr(10))) AS line, generate_subscripts(string_split(b.body, chr(10)), 1) AS line_no
+  FROM blobs b JOIN sites s USING (store_path) WHERE s.site IS NOT NULL),
+items AS (SELECT * FROM (SELECT blob_id, site, line_no, lower(upper(regexp_replace(line, '[^\\p{{L}}]+', '', 'g'))) AS item FROM parts) WHERE item <> '')"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"""WITH {LINES_SQL},
+often AS (SELECT site, item FROM items GROUP BY site, item HAVING count(DISTINCT blob_id) >= 10)
+SELECT blob_id, CAST(line_no AS INTEGER) AS line_no FROM items JOIN often USING (site, item)""",
+}
