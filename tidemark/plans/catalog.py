@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidemark.plans import data_queries
+
+QUERIES = {**data_queries.QUERIES}
+SQL = {**data_queries.SQL}
+QUERIES.setdefault("timeline", data_queries.p4_found)
