@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history, main_body, repeats, residue
+from tidemark.llm import history, main_body, mojibake, repeats, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,16 @@ def p3_body(spark: SparkSession, d: str) -> DataFrame:
     return main_body.body_text(html_pages(spark, d)).withColumnRenamed("id", "blob_id")
 
 
+def p5_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Author, title and company values with the verdict and the restored text."""
+    return mojibake.find_garbled(runtime.table(spark, d, "docmeta"), ["author", "title", "company"], "meta_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled fields."""
+    return p5_fields(spark, d).filter("garbled").select("meta_id", "field")
+
+
 def site_lines(spark: SparkSession, d: str) -> DataFrame:
     """(doc, source, line_no, item, line) of every line with letters of every blob."""
     blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("doc"), "store_path", F.col("body").alias("text"))
@@ -83,6 +93,8 @@ QUERIES = {
     "p2_files": p2_files,
     "p3_found": p3_found,
     "p3_body": p3_body,
+    "p5_found": p5_found,
+    "p5_fields": p5_fields,
     "p6_found": p6_found,
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
