@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history, main_body, mojibake, repeats, residue
+from tidemark.llm import history, main_body, mojibake, one_form, repeats, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,16 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeated(placed).withColumnRenamed("doc", "blob_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold look-alike or invisible characters."""
+    return runtime.table(spark, d, "documents").select("doc_id", "text").filter(one_form.is_changed(F.col("text"))).select("doc_id")
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in its one form."""
+    return one_form.with_one_form(runtime.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "one_form", "changed")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_verdicts": p1_verdicts,
@@ -98,6 +108,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
+    "p10_found": p10_found,
+    "p10_texts": p10_texts,
 }
 
 SITES_SQL = """sites AS (
