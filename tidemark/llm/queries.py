@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history, main_body, mojibake, one_form, repeats, residue
+from tidemark.llm import history, leaks, main_body, mojibake, one_form, repeats, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,18 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeated(placed).withColumnRenamed("doc", "blob_id")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and item with similar windows: how many, how many with equal words, and the best similarity."""
+    docs = runtime.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = runtime.table(spark, d, "evalitems").select(F.col("item_id").alias("item"), "passage")
+    return leaks.find_leaks(docs, items).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", "equal_windows", F.round("similarity", 6).alias("similarity"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share at least 12 consecutive words with an item."""
+    return p8_leaks(spark, d).filter(F.col("equal_windows") > 0).select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold look-alike or invisible characters."""
     return runtime.table(spark, d, "documents").select("doc_id", "text").filter(one_form.is_changed(F.col("text"))).select("doc_id")
@@ -108,6 +120,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p10_found": p10_found,
     "p10_texts": p10_texts,
 }
