@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import runtime
-from tidemark.llm import history, leaks, main_body, mojibake, one_form, repeats, residue
+from tidemark.llm import history, leaks, main_body, mixing, mojibake, one_form, repeats, residue
 
 
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +98,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).filter(F.col("equal_windows") > 0).select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix, one row per use, in order."""
+    docs = mixing.with_tokens(runtime.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text"))
+    return mixing.mix(docs, runtime.table(spark, d, "mixtargets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Reached shares of the sources against their targets."""
+    return mixing.shares(p9_mix(spark, d).withColumnRenamed("doc_id", "id"), runtime.table(spark, d, "mixtargets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold look-alike or invisible characters."""
     return runtime.table(spark, d, "documents").select("doc_id", "text").filter(one_form.is_changed(F.col("text"))).select("doc_id")
@@ -122,6 +133,8 @@ QUERIES = {
     "p6_cleaned": p6_cleaned,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_texts": p10_texts,
 }
