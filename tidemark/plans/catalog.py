@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import data_queries
+from tidemark.plans import capture_queries, data_queries
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
-QUERIES.setdefault("timeline", data_queries.p4_found)
+QUERIES = {**capture_queries.QUERIES, **data_queries.QUERIES}
+SQL = {**capture_queries.SQL, **data_queries.SQL}

@@ -8,14 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side up to which it is broadcast; its byte bound is this times the row width (keys only).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +62,6 @@ def written(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def at_once(f, items, threads: int = 4) -> list:
-    """[f(x) for x in items], a few jobs at a time: small jobs leave executors idle one by one."""
-    with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(f, items))
-
-
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most this many rows (counts no further than needed)."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
