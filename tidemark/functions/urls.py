@@ -136,9 +136,9 @@ def sanitized(name: Column | str) -> Column:
     """A path segment that every file system takes."""
     s = F.regexp_replace(col(name), r'[<>:"|?*\x00-\x1f/\\]', "_")
     s = F.regexp_replace(s, r"^[. ]+|[. ]+$", "")
-    s = F.when(s == "", "_").otherwise(s)
-    stem = F.upper(F.regexp_extract(s, r"^([^.]*)", 1))
-    s = F.when(stem.isin(*schema.RESERVED_NAMES), F.concat(F.lit("_"), s)).otherwise(s)
+    # every step names its input once, so that nesting doesn't multiply the plan
+    s = F.coalesce(F.nullif(s, F.lit("")), F.when(col(name).isNotNull(), F.lit("_")))
+    s = F.regexp_replace(s, "(?i)^(" + "|".join(schema.RESERVED_NAMES) + r")(?=\.|$)", "_$1")
     return F.substring(s, 1, 120)
 
 
@@ -164,13 +164,16 @@ def guarded_path(full: Column, folder: Column, url: Column | str, longest: int =
     return F.when(F.length(full) <= longest, full).otherwise(F.concat(folder, F.lit("/"), F.substring(F.sha1(col(url).cast("binary")), 1, 12), ext))
 
 
-def nice_filename(url: Column | str, timestamp: Column | str, forced: Column | None = None) -> Column:
+def clean_basename(url: Column | str) -> Column:
+    """Last part of the path, percent escapes decoded ('+' stays), as a safe name; 'file' if there is none."""
+    base = F.coalesce(F.nullif(basename(url), F.lit("")), F.when(col(url).isNotNull(), F.lit("file")))
+    return sanitized(F.coalesce(F.try_url_decode(F.regexp_replace(base, r"\+", "%2B")), base))
+
+
+def dated_name(base: Column, timestamp: Column, forced: Column | None = None) -> Column:
     """'<date>_<name>' for document views; the forced extension replaces a different one."""
     from tidemark.functions import times
 
-    base = F.when(basename(url) == "", "file").otherwise(basename(url))
-    # '+' stays: only percent escapes are decoded
-    base = sanitized(F.coalesce(F.try_url_decode(F.regexp_replace(base, r"\+", "%2B")), base))
     ext = F.regexp_extract(base, r"^\.*[^.].*(\.[^.]*)$", 1)
     stem = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
     if forced is not None:

@@ -7,6 +7,8 @@ third of the rows is one partial result per map task, never one sorted group in
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,9 @@ def destinations(captures: DataFrame) -> DataFrame:
     """Names in the document view: the first digest owns a name, others get a suffix of their digest."""
     kind = urls.document_extension("original_url", "mimetype")
     docs = captures.withColumn("doc_ext", kind).filter(F.col("doc_ext").isin(*schema.DOCUMENT_EXTENSIONS))
-    named = docs.withColumn("name", urls.nice_filename("original_url", "timestamp", F.col("doc_ext"))).withColumn("digest", values.store_digest("original_url", "timestamp", "digest"))
+    # step by step: as one expression the plan outgrows what code generation compiles
+    named = docs.withColumn("__base", urls.clean_basename("original_url")).withColumn("name", urls.dated_name(F.col("__base"), F.col("timestamp"), F.col("doc_ext"))).drop("__base")
+    named = named.withColumn("digest", values.store_digest("original_url", "timestamp", "digest"))
     owner = named.groupBy(F.lower("name").alias("__key")).agg(F.min_by("digest", "row_ord").alias("owner"))
     joined = named.join(owner, F.lower(named["name"]) == owner["__key"]).drop("__key")
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
@@ -159,6 +163,10 @@ def destinations(captures: DataFrame) -> DataFrame:
     return joined.select("row_ord", "doc_ext", "digest", dest.alias("destination"))
 
 
+def _profile(kind: Column, address: Column) -> Column:
+    return F.struct(kind, F.regexp_replace(address, "/+$", "").alias("value"), F.lit(0).alias("sure"))
+
+
 def contacts(texts: DataFrame, appearances: DataFrame) -> DataFrame:
     """E-mail addresses, phones and profiles with their pages.
 
@@ -171,7 +179,8 @@ def contacts(texts: DataFrame, appearances: DataFrame) -> DataFrame:
     hits.append(mails)
     hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"({values.PHONE})")), lambda m: F.struct(F.lit("phone").alias("type"), values.clean_phone(m).alias("value"), (values.phone_confidence(m) == "high").cast("int").alias("sure"))))
     for network, pattern in values.NETWORKS.items():
-        hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})")), lambda m, n=network: F.struct(F.lit(n).alias("type"), F.regexp_replace(m, "/+$", "").alias("value"), F.lit(0).alias("sure"))))
+        kind = F.lit(network).alias("type")
+        hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})")), partial(_profile, kind)))
     found = texts.select("store_path", F.explode(F.flatten(F.array(*hits))).alias("h")).select("store_path", "h.*").filter(F.col("value").isNotNull())
     found = found.filter((F.col("type") != "email") | ~values.is_junk_email(F.col("value")))
     per_file = found.groupBy("store_path", "type", "value").agg(F.max("sure").alias("sure"))
