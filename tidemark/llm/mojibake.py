@@ -94,15 +94,18 @@ def repair_multibyte(text: str) -> str | None:
     best, gain = None, 0
     for charset in MULTIBYTE:
         codes = to_bytes(text, charset)
-        out, at, saved = [], 0, 0
+        spans = []
         for start, end, count in utf8_spans(codes):
-            decoded = bytes(codes[start:end]).decode("utf-8")
-            source = text[start:end]
-            signs = sum(1 for c in source if not c.isalpha())
-            # one sequence alone is proof only if its second half is a sign, and not one that ends words by itself
-            alone = count == 1 and charset not in ("cp1252", "latin-1", "mac_roman") and (signs == 0 or source[-1] in EDGE)
-            if alone or not all(plausible(c) or charset in ("cp1252", "latin-1") and 0x80 <= ord(c) <= 0x9F for c in decoded):
+            decoded, source = bytes(codes[start:end]).decode("utf-8"), text[start:end]
+            if not all(plausible(c) or charset in ("cp1252", "latin-1") and 0x80 <= ord(c) <= 0x9F for c in decoded):
                 continue
+            # a single pair proves nothing by itself if its second half is a letter or a sign that ends words
+            weak = count == 1 and end - start == 2 and charset not in ("cp1252", "latin-1", "mac_roman") and (source.isalpha() or source[-1] in EDGE)
+            spans.append((start, end, decoded, weak))
+        if all(weak for *_, weak in spans):
+            continue
+        out, at, saved = [], 0, 0
+        for start, end, decoded, _ in spans:
             out += [text[at:start], decoded]
             at, saved = end, saved + end - start - len(decoded)
         if saved > gain:

@@ -173,6 +173,8 @@ def kind(line: str) -> str:
     if not c:
         return "blank"
         return "text"  # most lines by size
+    if PLACEHOLDER_SIGN.search(c) and PLACEHOLDER.search(c) and is_message(c):
+        return "message"  # before furniture: 'by {{ name }}' is an unfilled by-line
     if len(c) < 120 and is_menu(c):
         return "menu"
     if (len(c) < 300 and FURNITURE.fullmatch(c)) or (INNER_GATE.search(c) and INNER.search(c)):

@@ -147,7 +147,7 @@ SITES_SQL = """sites AS (
 LINES_SQL = f"""{SITES_SQL}, parts AS (
   SELECT b.blob_id, s.site, unnest(string_split(b.body, chr(10))) AS line, generate_subscripts(string_split(b.body, chr(10)), 1) AS line_no
   FROM blobs b JOIN sites s USING (store_path) WHERE s.site IS NOT NULL),
-items AS (SELECT * FROM (SELECT blob_id, site, line_no, lower(upper(regexp_replace(line, '[^\\p{{L}}]+', '', 'g'))) AS item FROM parts) WHERE item <> '')"""
+items AS (SELECT * FROM (SELECT blob_id, site, line_no, replace(replace(lower(regexp_replace(line, '[^\\p{{L}}]+', '', 'g')), 'ς', 'σ'), 'ß', 'ss') AS item FROM parts) WHERE item <> '')"""
 
 SQL: dict[str, str] = {
     "p6_found": f"""WITH {LINES_SQL},
