@@ -32,6 +32,11 @@ def test_main_body():
     assert outside == [1, 2, 3, 4, 6, 8, 12, 13, 14, 19, 20, 21, 22]
 
 
+def test_headline_above_byline_and_link():
+    page = "Home > A > The map of Town found again by Ann\nThe map of Town found again by Ann\nBy Ann Lee\nBackground\nMore: Other story about the Town map\nThe crew of Town copied a narrow list with 20 folders.\nBack to top"
+    assert main_body.main_lines(page) == ([2, 4, 6], [1, 3, 5, 7])
+
+
 @pytest.mark.parametrize(
     "line,kind",
     [

@@ -135,8 +135,8 @@ def main_lines(text: str | None) -> tuple[list[int], list[int]]:
     prose = [any(kinds[j] in ("text", "list", "table") for j in range(*spans[b])) for b in range(len(blocks))]
     dense = [b for b in range(len(blocks)) if b == core or prose[b] or density(blocks[b], body) >= bound and len(blocks[b].children) > 1]
     first, last = dense[0], dense[-1]
-    # the headline adjoins the article from above, across by-line and links between
-    if first > 0 and not any(k == "crumb" for k in kinds[spans[first - 1][1] : spans[first][0]]):
+    # headline and subheadings adjoin the article from above, across by-lines and links to other stories
+    while first > 0 and not any(k in ("crumb", "menu") for k in kinds[spans[first - 1][1] : spans[first][0]]):
         first -= 1
     main = []
     for b, (s, e) in enumerate(spans):
