@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.urls import col
 
+#: What counts as an address and as a phone number.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?:\+7|\+3\d{2}|\+\d{1,3}|8)[\s\-()]*\d{2,4}[\s\-()]*\d{2,3}[\s\-()]*\d{2}[\s\-()]*\d{2}"
 #: Parts of addresses that are no contacts.

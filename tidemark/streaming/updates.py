@@ -1,7 +1,6 @@
 """Incremental updates by Structured Streaming: arriving raw index pages become rows of a failure-safe table.
 
-The reference keeps no stream; what it has is re-runs with an anti-join and a keyed upsert, which is what each
-micro-batch does here. Upserts are keyed, so a batch replayed after a lost executor changes nothing. The order of
+Each micro-batch does what a re-run does: an anti-join and a keyed upsert. Upserts are keyed, so a batch replayed after a lost executor changes nothing. The order of
 captures is their timestamp, not their arrival, so late ones need no watermark.
 """
 
