@@ -46,6 +46,9 @@ def ship(spark: SparkSession) -> None:
         return
     here = Path(__file__).parent
     path = new_dir(spark, "code").removeprefix("file://").removeprefix("file:")
+    if "://" in path:  # no file system of this machine; the driver serves the archive to the executors itself
+        path = tempfile.mkdtemp(prefix="tidemark-code-")
+        atexit.register(shutil.rmtree, path, True)
     os.makedirs(path, exist_ok=True)
     archive = os.path.join(path, "tidemark_code.zip")
     with zipfile.ZipFile(archive, "w") as z:
