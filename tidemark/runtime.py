@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where it is unset, a new temporary one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    sc = spark.sparkContext  # the setting can't be changed in a running session
+    if not getattr(sc, "_tidemark_shared", None):
+        sc._tidemark_shared = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, sc._tidemark_shared, True)
+        sc.setCheckpointDir(sc._tidemark_shared)
+    return sc._tidemark_shared
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
