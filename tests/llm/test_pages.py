@@ -51,32 +51,40 @@ def test_kinds(line, kind):
     assert page_lines.kind(line) == kind
 
 
+SITES = "store_path string, site string, html boolean"
+
+
 def test_residue(rows):
-    S = "id bigint, site string, text string, extra string"
+    S = "id bigint, store_path string, text string, messages string"
     found = ["Error 404\nTry a search", "Home > News\n404 - page not found\nTags: a, b", "{{ title }}\n$body$"]
     fine = [PAGE, "Error 404\nThe crew of Town reviewed the page and found it gone in May.", "", None, "Tags: a, b"]
-    t = rows(S, *[(i, "s", x, "x") for i, x in enumerate(found + fine)], (0, "s", found[0], "x"))
-    got = [(r.id, r.residue) for r in residue.residue(t).collect()]
-    assert sorted(i for i, r in got if r) == [0, 0, 1, 2] and len(got) == 9
-    assert residue.residue(t.filter("false")).count() == 0
+    t = rows(S, *[(i, f"p{i}", x, "x") for i, x in enumerate(found + fine)], (100, None, found[0], "x"))
+    sites = rows(SITES, *[(f"p{i}", "s", True) for i in range(5)])
+    got = [(r.id, r.residue) for r in residue.residue(t, sites).collect()]
+    assert sorted(i for i, r in got if r) == [0, 1, 2, 100] and len(got) == 9
+    assert residue.residue(t.filter("false"), sites).count() == 0
+    assert residue.residue(t, sites.filter("false")).count() == 9
 
 
 def test_hints_count_only_where_they_recur(rows):
-    S = "id bigint, site string, text string"
-    line = "Sorry, the thing {0} could not be shown, please try again soon"
-    wide = rows(S, *[(i, f"s{i}", f"Error 404\nNumber {i} is blocked for everybody.") for i in range(6)], (9, "s1", "Error 404\nOnly here the harbour is blocked by ships."))
-    assert sorted(r.id for r in residue.residue(wide).filter("residue").collect()) == [0, 1, 2, 3, 4, 5]
-    assert line
-
-
-def test_body_text(rows):
-    S = "id bigint, text string, main string"
-    t = rows(S, (1, PAGE, "clash"), (2, None, None), (3, "", None), (1, PAGE, "clash"))
-    got = {r.id: (r.main, r.outside) for r in main_body.main_body(t).collect()}
-    assert got[2] == ([], []) and got[3] == ([], []) and len(got[1][0]) == 8
-    texts = {r.id: r.main_text for r in main_body.body_text(t).collect()}
-    assert texts[1].startswith("How Ada found the map\nThe map") and texts[2] is None or texts[2] == ""
-    assert main_body.main_body(t.filter("false")).count() == 0
+    S = "id bigint, store_path string, text string"
+    wide = rows(S, *[(i, f"p{i}", f"Error 404\nNumber {i} is blocked for everybody.") for i in range(6)], (9, "p9", "Error 404\nOnly here the harbour is blocked by ships."))
+    sites = rows(SITES, *[(f"p{i}", f"s{i}", True) for i in range(6)], ("p9", "s1", True))
+    assert sorted(r.id for r in residue.residue(wide, sites).filter("residue").collect()) == [0, 1, 2, 3, 4, 5]
+    one_site = rows(SITES, *[(f"p{i}", "s", True) for i in range(10)])
+    assert residue.residue(wide, one_site).filter("residue").count() == 0
+
+
+def test_pages_and_texts(rows):
+    S = "id bigint, store_path string, text string, main string"
+    t = rows(S, (1, "a", PAGE, "clash"), (2, "b", None, None), (3, "c", "", None), (4, "d", PAGE, "no html"), (5, "e", "Error 404", None), (6, None, PAGE, None))
+    sites = rows(SITES, *[(p, "s", p != "d") for p in "abcde"])
+    pages = main_body.html_pages(t, sites)
+    got = {r.id: (r.main, r.outside) for r in pages.collect()}
+    assert set(got) == {1, 2, 3} and got[2] == ([], []) and got[3] == ([], []) and len(got[1][0]) == 8
+    texts = {r.id: r.main_text for r in main_body.body_text(t, pages).collect()}
+    assert texts[1].startswith("How Ada found the map\nThe map") and not texts[2] and not texts[3]
+    assert main_body.html_pages(t.filter("false"), sites).count() == 0
 
 
 def test_very_long_text():

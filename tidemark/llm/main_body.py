@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import runtime
 from tidemark.llm import page_lines as P
+from tidemark.llm import residue
 
 LINKS = frozenset(("menu", "crumb", "furniture", "related_head", "related", "link", "message"))
 #: Words from which a line without full stop can be a story's title; shorter ones are list items or subheadings.
@@ -107,7 +109,10 @@ def kinds_in_context(lines: list[str]) -> list[str]:
 def main_lines(text: str | None) -> tuple[list[int], list[int]]:
     """Line numbers (from 1) of the main body and of the non-empty lines outside it."""
     lines = (text or "").split("\n")
-    kinds = kinds_in_context(lines)
+    return split_lines(lines, kinds_in_context(lines))
+
+
+def split_lines(lines: list[str], kinds: list[str]) -> tuple[list[int], list[int]]:
     body, blocks, spans = Node(), [], []
     start = None
     for i in range(len(lines) + 1):
@@ -152,27 +157,41 @@ def main_lines(text: str | None) -> tuple[list[int], list[int]]:
 
 
 def page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, store_path, text) to line numbers in and outside the body, and the counts that tell residue."""
     for b in batches:
-        mains, outs = [], []
+        mains, outs, counts = [], [], []
         for text in b.column("text").to_pylist():
-            m, o = main_lines(text)
+            lines = (text or "").split("\n")
+            counts.append(residue.count_lines(lines, [P.KINDS[x] for x in lines]))
+            m, o = split_lines(lines, kinds_in_context(lines))
             mains.append(m)
             outs.append(o)
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(mains, pa.list_(pa.int32())), pa.array(outs, pa.list_(pa.int32()))], ["id", "main", "outside"])
+        arrays = [b.column("id"), b.column("store_path"), pa.array(mains, pa.list_(pa.int32())), pa.array(outs, pa.list_(pa.int32())), *residue.count_arrays(counts)]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "store_path", "main", "outside", "messages", "own", "hints"])
 
 
 def main_body(pages: DataFrame) -> DataFrame:
-    """pages: (id, text) to (id, main ARRAY<INT>, outside ARRAY<INT>): line numbers inside and outside the body.
+    """pages (id, store_path, text) to (id, store_path, main ARRAY<INT>, outside ARRAY<INT>, counts of residue).
+
+    Line numbers inside and outside the body; empty lines are in neither. NULL and empty texts give empty arrays;
+    a page without any text of its own has everything outside. One pass, page by page: no shuffle, no state.
+    """
+    schema = f"id {pages.schema['id'].dataType.simpleString()}, store_path string, main array<int>, outside array<int>, {residue.COUNTS}"
+    return pages.select("id", "store_path", "text").mapInArrow(page_rows, schema)
+
+
+def html_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """main_body of the HTML files that aren't residue. sites: (store_path, site, html).
 
-    Empty lines are in neither. NULL and empty texts give empty arrays; a page without any text of its own
-    has everything outside. Works page by page in one pass: no shuffle, no state, any size.
+    All files are read once; type and residue are settled afterwards on their line numbers, so texts never move.
     """
-    schema = f"id {pages.schema['id'].dataType.simpleString()}, main array<int>, outside array<int>"
-    return pages.select("id", "text").mapInArrow(page_rows, schema)
+    rows = runtime.written(main_body(pages), runtime.new_dir(pages.sparkSession, "pages"))
+    left_out = residue.verdicts(rows.select("id", "store_path", "messages", "own", "hints"), sites).filter("residue").select("id")
+    html = rows.select("id", "store_path", "main", "outside").join(sites.filter("html").select("store_path"), "store_path", "left_semi")
+    return runtime.join_small(html, left_out, ["id"], "left_anti")
 
 
-def body_text(pages: DataFrame) -> DataFrame:
-    """pages: (id, text) to (id, main_text): the lines of the main body, in order."""
-    inside = main_body(pages).join(pages.select("id", "text"), "id")
+def body_text(pages: DataFrame, inside: DataFrame) -> DataFrame:
+    """pages (id, text) and line numbers (id, main) to (id, main_text): the lines of the main body, in order."""
     pieces = F.transform(F.array_sort("main"), lambda n: F.element_at(F.split("text", "\n"), n))
-    return inside.select("id", F.array_join(pieces, "\n").alias("main_text"))
+    return inside.select("id", "main").join(pages.select("id", "text"), "id").select("id", F.array_join(pieces, "\n").alias("main_text"))

@@ -23,10 +23,13 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     return residue.store_sites(runtime.table(spark, d, "captures"), runtime.table(spark, d, "incoming"))
 
 
+def stored_texts(spark: SparkSession, d: str) -> DataFrame:
+    return runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("id"), "store_path", F.col("body").alias("text"))
+
+
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
     """Every blob with its numbers of message lines and lines of its own, and the verdict."""
-    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("id"), "store_path", F.col("body").alias("text"))
-    return residue.residue(blobs.join(sites(spark, d), "store_path", "left")).withColumnRenamed("id", "blob_id")
+    return residue.residue(stored_texts(spark, d), sites(spark, d)).withColumnRenamed("id", "blob_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,23 +37,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_files(spark, d).filter("residue").select("blob_id")
 
 
-def html_pages(spark: SparkSession, d: str) -> DataFrame:
-    """(id, text) of the HTML files that are not residue."""
-    html = sites(spark, d).filter("html").select("store_path", "site")
-    blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("id"), "store_path", F.col("body").alias("text"))
-    pages = blobs.join(html, "store_path")
-    left_out = residue.residue(pages).filter("residue").select("id")
-    return runtime.join_small(pages.select("id", "text"), left_out, ["id"], "left_anti")
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of HTML files outside the main body."""
-    return main_body.main_body(html_pages(spark, d)).select(F.col("id").alias("blob_id"), F.explode("outside").alias("line_no"))
+    pages = main_body.html_pages(stored_texts(spark, d), sites(spark, d))
+    return pages.select(F.col("id").alias("blob_id"), F.explode("outside").alias("line_no"))
 
 
 def p3_body(spark: SparkSession, d: str) -> DataFrame:
     """The main body of every HTML file that isn't residue."""
-    return main_body.body_text(html_pages(spark, d)).withColumnRenamed("id", "blob_id")
+    pages = stored_texts(spark, d)
+    return main_body.body_text(pages, main_body.html_pages(pages, sites(spark, d))).withColumnRenamed("id", "blob_id")
 
 
 def p5_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -23,49 +23,63 @@ from tidemark.llm import page_lines as P
 MIN_SITES = 5
 
 
-def line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, messages, own, hints): numbers of lines, and hashes of masked lines that hint at a message."""
+def count_lines(lines: list[str], kinds: list[str]) -> tuple[int, int, list[int]]:
+    """Message lines, lines of the page's own, and hashes of masked lines that hint at a message."""
+    own, hints = 0, []
+    for line, k in zip(lines, kinds):
+        if k in ("text", "list", "table"):
+            c = P.clean(line) if k == "text" and len(line) < 300 else ""
+            if c and len(c) < 200 and P.MESSAGE_HINT.search(c):
+                hints.append(xxhash.xxh3_64_intdigest(P.masked(c)) - 2**63)
+            else:
+                own += 1
+    return kinds.count("message"), own, hints
+
+
+COUNTS = "messages int, own int, hints array<bigint>"
+
+
+def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, store_path, text) to (id, store_path, messages, own, hints)."""
     for b in batches:
-        messages, own, hints = [], [], []
+        rows = []
         for text in b.column("text").to_pylist():
-            m = o = 0
-            h = []
-            for line in (text or "").split("\n"):
-                k = P.KINDS[line]
-                if k == "message":
-                    m += 1
-                elif k in ("text", "list", "table"):
-                    c = P.clean(line)
-                    if k == "text" and len(c) < 200 and P.MESSAGE_HINT.search(c):
-                        h.append(xxhash.xxh3_64_intdigest(P.masked(c)) - 2**63)
-                    else:
-                        o += 1
-            messages.append(m)
-            own.append(o)
-            hints.append(h)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("site"), pa.array(messages, pa.int32()), pa.array(own, pa.int32()), pa.array(hints, pa.list_(pa.int64()))], ["id", "site", "messages", "own", "hints"])
-
-
-def residue(texts: DataFrame) -> DataFrame:
-    """texts: (id, site, text) to (id, messages, own, residue BOOLEAN), one row per input row.
-
-    NULL and empty texts have no messages and are not residue. Ties and repeated rows keep one row each.
+            lines = (text or "").split("\n")
+            rows.append(count_lines(lines, [P.KINDS[x] for x in lines]))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("store_path"), *count_arrays(rows)], ["id", "store_path", "messages", "own", "hints"])
+
+
+def count_arrays(rows: list[tuple[int, int, list[int]]]) -> list[pa.Array]:
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+
+
+def verdicts(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """rows (id, store_path, messages, own, hints; a written table) to (id, messages, own, residue BOOLEAN).
+
+    sites: (store_path, site). Only hinted lines meet their sites, so texts never move.
+    """
+    hinted = rows.filter(F.size("hints") > 0)
+    seen = hinted.select("store_path", F.explode("hints").alias("h")).join(sites.select("store_path", "site"), "store_path").filter(F.col("site").isNotNull())
+    wide = seen.select("site", "h").distinct().groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= MIN_SITES).select("h", F.lit(True).alias("wide"))
+    # only files without any other content of their own need a verdict on their hinted lines
+    open_ = hinted.filter("own = 0").select("id", "store_path", F.explode("hints").alias("h")).join(wide, "h", "left")
+    verdict = open_.groupBy("id", "store_path").agg(F.count("*").alias("n"), F.count("wide").alias("n_wide"))
+    out = rows.select("id", "store_path", "messages", "own", F.size("hints").alias("hinted")).join(verdict, ["id", "store_path"], "left")
+    own = F.when(F.col("own") > 0, F.col("own") + F.col("hinted")).otherwise(F.coalesce(F.col("n") - F.col("n_wide"), F.lit(0)))
+    out = out.select("id", (F.col("messages") + F.coalesce("n_wide", F.lit(0))).cast("int").alias("messages"), own.cast("int").alias("own"))
+    return out.withColumn("residue", (F.col("messages") > 0) & (F.col("own") == 0))
+
+
+def residue(texts: DataFrame, sites: DataFrame) -> DataFrame:
+    """texts (id, store_path, text) and sites (store_path, site) to (id, messages, own, residue BOOLEAN).
+
+    One row per text; the path of a text is its key. NULL and empty texts have no messages and are not residue;
+    a text without a site counts for no source. Other columns are ignored.
     """
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, site string, messages int, own int, hints array<bigint>"
-    rows = texts.select("id", "site", "text").mapInArrow(line_counts, schema)
-    rows = runtime.written(rows, runtime.new_dir(texts.sparkSession, "residue"))
-    # hinted lines are rare: only files without any content of their own need their verdict
-    open_ = rows.filter((F.col("own") == 0) & (F.size("hints") > 0)).select("id", "messages", F.posexplode("hints").alias("pos", "h"))
-    wide = rows.select("site", F.explode("hints").alias("h")).distinct().groupBy("h").agg(F.count("site").alias("sites")).filter(F.col("sites") >= MIN_SITES)
-    counted = open_.join(wide.select("h", F.lit(True).alias("wide")), "h", "left")
-    verdict = counted.groupBy("id").agg(F.count("*").alias("n"), F.count("wide").alias("n_wide"))
-    out = rows.select("id", "messages", "own", F.size("hints").alias("hinted")).join(verdict, "id", "left")
-    wide_lines, other = F.coalesce("n_wide", F.lit(0)), F.coalesce(F.col("n") - F.col("n_wide"), F.lit(0))
-    return out.select(
-        "id",
-        (F.col("messages") + wide_lines).cast("int").alias("messages"),
-        F.when(F.col("own") > 0, F.col("own") + F.col("hinted")).otherwise(other).cast("int").alias("own"),
-    ).withColumn("residue", (F.col("messages") > 0) & (F.col("own") == 0))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, store_path string, {COUNTS}"
+    rows = texts.select("id", "store_path", "text").mapInArrow(count_rows, schema)
+    return verdicts(runtime.written(rows, runtime.new_dir(texts.sparkSession, "residue")), sites)
 
 
 def store_sites(*tables: DataFrame) -> DataFrame:
