@@ -100,6 +100,26 @@ def test_hot_body(spark, rows):
     assert verdicts(spark, caps, inc, blobs) == {1: "body", 2: "near", 3: None}
 
 
+def test_family_of_near_copies(spark, rows):
+    """A third of the bodies are near copies of one: their shared windows are all common, and still they are found."""
+    base = text(1, 420).split()
+
+    def replaced(share, seed):
+        spots = random.Random(seed).sample(range(len(base)), int(len(base) * share))
+        return " ".join(f"new{seed}x{i}" if i in spots else w for i, w in enumerate(base))
+
+    family = [replaced([0.05, 0.05, 0.07, 0.09][i % 4], 50 + i) for i in range(120)]
+    news = [replaced([0.04, 0.045, 0.05, 0.09][i % 4], 500 + i) for i in range(16)]
+    bodies = family + [text(3000 + i, 400) for i in range(240)]
+    blobs = rows(B, *[(i, f"h{i}", b, 0) for i, b in enumerate(bodies)], *[(5000 + i, f"n{i}", b, 0) for i, b in enumerate(news)], (6000, "far", replaced(0.3, 9), 0))
+    caps = rows(C, *[(None, None, f"h{i}", None) for i in range(len(bodies))])
+    inc = rows(I, *[(i, 1, None, None, f"n{i}", None) for i in range(16)], (99, 1, None, None, "far", None))
+    ids = [W.word_ids(b) for b in family + news]
+    near = [any(W.edits_within(ids[120 + i], y, max(len(ids[120 + i]), len(y)) // 10) is not None for y in ids[: 120 + i]) for i in range(16)]
+    assert sum(near) > 8
+    assert verdicts(spark, caps, inc, blobs) == {**{i: "near" if n else None for i, n in enumerate(near)}, 99: None}
+
+
 def test_digest_keys(rows):
     got = rows("d string", ("sha1: ABCDEFGH",), ("ABCDEFG",), (None,)).select(history.digest_key(F.col("d")).alias("k")).collect()
     assert [r.k for r in got] == ["abcdefgh", None, None]

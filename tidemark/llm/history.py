@@ -15,15 +15,16 @@ Content fingerprints. A body is a row of word ids. Its unit is the shingle of fi
 three neighbouring shingles, that is seven words. The index side keeps one fingerprint per disjoint window;
 the query side asks for the windows at every position, so any unbroken run of 13 common words is found
 wherever it stands, and an edit destroys one kept window only. Windows that stand in a share of all
-bodies (page furniture) are left out unless a body has fewer than SPARSE others; such a sparse body keeps
-all its windows and is asked for with all of them. Keys carry the length class of the body, so that only
-bodies of a possible length meet.
+bodies (page furniture, unedited parts of a family of near copies) are left out where the others alone are
+more than the edits a near copy may have, so that one of those is shared for certain; a body with fewer
+others keeps all its windows. Every window is asked for, so common ones meet such bodies only. Keys carry the
+length class of the body, so that only bodies of a possible length meet.
 
 All batches at hand go through one set of jobs, each seeing its own and earlier generations only: job by job
 and batch by batch the driver held too many plans.
 
-Known limit: a near copy is missed if its edits break every kept window, which for edits at random places
-in a tenth of the words of a 300-word body has a chance below 1e-6 (README: measured recall).
+Known limit: bodies of 18 to 20 and of 27 words have no more windows than a near copy may have edits; such a
+copy is missed if its edits break all of them.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ from tidemark import runtime
 from tidemark.llm import words as W
 
 WINDOW = 7
-SPARSE = 12
 #: A window is common if it stands in more than this share of the bodies (and in more than COMMON_MIN).
 #: At most WINDOWS_PER_BODY / COMMON_SHARE values can be common, however many bodies there are.
 COMMON_SHARE, COMMON_MIN = 0.002, 50
 EDIT_SHARE = 10  # one word in ten may differ
+MOST_EDITS = 9  # a near copy may be longer: a tenth of its words is a ninth of its original's at most
 PLACEHOLDER = 8  # digests under this length equal nothing
 BITS_PER_KEY, HASHES = 12, 4
 
@@ -111,8 +112,8 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
 
-def _kept(lists: pa.Array, all_of: Callable[[np.ndarray], np.ndarray], common: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The lists without common values, save those that keep all; and how many rare values each has."""
+def _kept(lists: pa.Array, all_of: Callable[[np.ndarray], np.ndarray], common: np.ndarray) -> pa.Array:
+    """The lists without common values, save those that keep all: all_of tells which by their numbers of rare values."""
     values, lengths = _flat(lists)
     row = np.repeat(np.arange(len(lengths)), lengths)
     at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
@@ -120,20 +121,15 @@ def _kept(lists: pa.Array, all_of: Callable[[np.ndarray], np.ndarray], common: n
     count = np.bincount(row, weights=rare, minlength=len(lengths)).astype(np.int64)
     stay = rare | all_of(count)[row]
     offsets = np.concatenate(([0], np.cumsum(np.bincount(row[stay], minlength=len(lengths))))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[stay])), count
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[stay]))
 
 
 def narrow(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """fps and asked without common windows, save for bodies that have few others; adds kept = size of fps.
-
-    Asking takes twice the bound of keeping: a near copy may have more windows of its own than its original.
-    """
+    """fps without common windows, save for bodies whose others a near copy may all have lost; adds kept = size of fps."""
     for b in batches:
         cols = {n: b.column(n) for n in b.schema.names}
-        fps, rare = _kept(cols["fps"], lambda count: count < SPARSE, common)
-        if "asked" in cols:
-            cols["asked"], _ = _kept(cols["asked"], lambda _, rare=rare: rare < 2 * SPARSE, common)
-        cols["fps"] = fps
+        edits = cols["words"].to_numpy() // MOST_EDITS
+        fps = cols["fps"] = _kept(cols["fps"], lambda rare, edits=edits: rare <= edits, common)
         cols["kept"] = pa.array(np.diff(fps.offsets.to_numpy()), pa.int32())
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -290,13 +286,26 @@ class HistoryStore:
         # an edit destroys one kept window at most, so all others must be shared
         pairs = pairs.groupBy("text_id", "words", "gen", "o_text_id", "o_words", "o_kept", "o_gen").agg(F.count("*").alias("shared"), F.min("o_seen").alias("o_seen"))
         pairs = pairs.filter((longer - F.least("words", "o_words") <= limit) & (F.col("shared") >= F.greatest(F.lit(1), F.col("o_kept") - limit)))
-        pairs = pairs.groupBy("text_id", "o_text_id").agg(F.min("o_seen").alias("o_seen"))
+        pairs = pairs.groupBy("text_id", "o_text_id").agg(F.min("o_seen").alias("o_seen"), F.max("shared").alias("shared"))
         pairs = runtime.written(pairs, runtime.new_dir(self.spark, "pairs"))
-        near = self.verify(pairs).groupBy("text_id").agg(F.min("o_seen").alias("near_seen")).join(bodies.select("text_id", "body").distinct(), "text_id")
+        near = self.verified(pairs, bodies).groupBy("text_id").agg(F.min("o_seen").alias("near_seen")).join(bodies.select("text_id", "body").distinct(), "text_id")
         by_text = arrivals.select("arrival_id", "seen", "body").join(near, "body").filter(F.col("near_seen") < F.col("seen")).select("arrival_id", F.lit("near").alias("reason"))
         rank = F.when(F.col("reason") == "identifier", 3).when(F.col("reason") == "body", 2).otherwise(1)
         return by_key.unionByName(by_text).groupBy("arrival_id").agg(F.max_by("reason", rank).alias("reason"))
 
+    def verified(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        """The near ones of pairs (text_id, o_text_id, o_seen, shared), as far as they matter.
+
+        In a family of near copies each has all others as candidates: the likeliest of those seen before a body
+        first arrived comes first, and only where it isn't near all others follow.
+        """
+        arrived = bodies.groupBy("text_id").agg(F.min("seen").alias("arrived"))
+        earlier = pairs.join(arrived, "text_id").filter(F.col("o_seen") < F.col("arrived"))
+        best = earlier.groupBy("text_id").agg(F.max_by(F.struct("o_text_id", "o_seen"), F.struct("shared", "o_text_id")).alias("o")).select("text_id", "o.o_text_id", "o.o_seen")
+        sure = runtime.written(self.verify(best), runtime.new_dir(self.spark, "sure"))
+        rest = runtime.join_small(pairs, sure.select("text_id"), ["text_id"], "left_anti")
+        return sure.unionByName(self.verify(rest.select("text_id", "o_text_id", "o_seen")))
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose bodies differ by a tenth of the longer's words at most, by word edit distance."""
         ids = pairs.select("text_id").union(pairs.select("o_text_id")).distinct()
@@ -305,10 +314,16 @@ class HistoryStore:
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                ok = []
+                ok, bags = [], {}
+                for t in set(pdf["text"]).union(pdf["o_text"]):
+                    ids = W.word_ids(t)
+                    bags[t] = ids, *np.unique(ids, return_counts=True)
                 for a, b in zip(pdf["text"], pdf["o_text"]):
-                    x, y = W.word_ids(a), W.word_ids(b)
-                    ok.append(W.edits_within(x, y, max(len(x), len(y)) // EDIT_SHARE) is not None)
+                    (x, *x_bag), (y, *y_bag) = bags[a], bags[b]
+                    longer = max(len(x), len(y))
+                    limit = longer // EDIT_SHARE
+                    # each edit takes one word of the longer from the words in common at most
+                    ok.append(W.common_words(*x_bag, *y_bag) >= longer - limit and W.edits_within(x, y, limit) is not None)
                 yield pdf.loc[np.array(ok, bool), ["text_id", "b", "i"]]
 
         out = full.select("text_id", F.col("o_seen.batch").alias("b"), F.col("o_seen.id").alias("i"), "text", "o_text").mapInPandas(near, "text_id bigint, b int, i bigint")

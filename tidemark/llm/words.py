@@ -51,6 +51,12 @@ def shingles(ids: np.ndarray, k: int = K) -> np.ndarray:
     return mix(h)
 
 
+def common_words(a: np.ndarray, a_times: np.ndarray, b: np.ndarray, b_times: np.ndarray) -> int:
+    """Words two texts have in common, wherever they stand; a and b are their distinct ids in order."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(a_times[i], b_times[j]).sum())
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Word edit distance (insert, delete, replace) of a and b if it is at most limit, else None.
 
