@@ -120,6 +120,21 @@ def test_family_of_near_copies(spark, rows):
     assert verdicts(spark, caps, inc, blobs) == {**{i: "near" if n else None for i, n in enumerate(near)}, 99: None}
 
 
+def test_store_used_again(spark, rows, monkeypatch):
+    """A second call opens the store as it was written, parts included, and reads no captures."""
+    path, old = runtime.new_dir(spark, "again"), [text(i, 80) for i in range(40)]
+    blobs = rows(B, *[(i, f"h{i}", b, 0) for i, b in enumerate(old)], *[(100 + i, f"n{i}", edited(b, 0.05, i), 0) for i, b in enumerate(old)], (200, "x", text(99), 0), (201, "y", edited(text(99), 0.05, 1), 0))
+    caps = rows(C, *[(f"DIGEST-{i:04}", None, f"h{i}", None) for i in range(40)])
+    monkeypatch.setattr(history, "LEAST_PARTS", 31)
+    first = history.dedup_batches(caps, rows(I, (1, 3, None, None, "x", None), (2, 4, "digest-0007", None, None, None)), blobs, path)
+    monkeypatch.undo()
+    assert history.HistoryStore(spark, path, blobs).partitions == 31
+    again = rows(I, *[(i, 1, None, None, f"n{i}", None) for i in range(40)], (50, 1, None, None, "y", None), (51, 2, "digest-0008", None, None, None), (52, 2, "newdigest1", None, None, None))
+    got = {r.arrival_id: r.reason for r in history.dedup_batches(rows(C), again, blobs, path).collect()}
+    assert got == {**{i: "near" for i in range(40)}, 50: "near", 51: "identifier", 52: None}
+    assert {r.arrival_id: r.reason for r in first.collect()} == {1: None, 2: "identifier"}
+
+
 def test_digest_keys(rows):
     got = rows("d string", ("sha1: ABCDEFGH",), ("ABCDEFG",), (None,)).select(history.digest_key(F.col("d")).alias("k")).collect()
     assert [r.k for r in got] == ["abcdefgh", None, None]

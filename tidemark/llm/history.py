@@ -7,6 +7,8 @@ A `HistoryStore` is a folder with three growing tables, each in generations, one
 - prints  content fingerprints: (fp, cls, words, kept, text_id, seen), cls = class of the body's length
 - bloom   Bloom filters over the fps of both, one row per hash partition and generation
 
+and one row of settings that hold for all generations: the number of hash partitions and the common windows.
+
 A batch costs what it holds: its fingerprints are tested against the Bloom filters partition by
 partition, only positives are looked up in the tables, candidates are verified by shared coverage and
 then by word edit distance, and the batch is appended as one more generation.
@@ -49,6 +51,8 @@ EDIT_SHARE = 10  # one word in ten may differ
 MOST_EDITS = 9  # a near copy may be longer: a tenth of its words is a ninth of its original's at most
 PLACEHOLDER = 8  # digests under this length equal nothing
 BITS_PER_KEY, HASHES = 12, 4
+LEAST_PARTS = 12
+SETTINGS = "partitions int, common array<bigint>"
 
 SEEN = "struct<batch:int,id:bigint>"
 LAST = 2**31 - 2
@@ -199,12 +203,21 @@ def seen(batch: Column, row: Column) -> Column:
 
 
 class HistoryStore:
-    """Persistent fingerprint store; see the module's text. Generation 0 is the first load."""
+    """Persistent fingerprint store; see the module's text. Generation 0 is the first load.
+
+    A folder that was loaded once opens as it is: loaded is set, and last is its latest generation.
+    """
 
     def __init__(self, spark, path: str, texts: DataFrame):
         """texts: (text_id, text) from which candidates' bodies are fetched again for the last check."""
         self.spark, self.path, self.texts = spark, path, texts
-        self.partitions, self.common = 12, np.empty(0, np.int64)
+        self.partitions, self.common, self.last = LEAST_PARTS, np.empty(0, np.int64), 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/settings/_SUCCESS")
+        self.loaded = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        if self.loaded:
+            kept = spark.read.schema(SETTINGS).parquet(f"{path}/settings").first()
+            self.partitions, self.common = kept.partitions, np.array(kept.common, np.int64)
+            self.last = self.blooms().agg(F.max("gen")).first()[0] or 0
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, gen int").parquet(f"{self.path}/{name}")
@@ -235,8 +248,11 @@ class HistoryStore:
         counts = one.select(F.explode("fps").alias("fp")).groupBy("fp").count()
         # at most (windows in a body) / COMMON_SHARE values, whatever n is
         self.common = np.sort(np.array([r.fp for r in counts.filter(F.col("count") > bound).select("fp").collect()], np.int64))
-        self.partitions = max(12, n * 45 // 1_000_000)
+        self.partitions = max(LEAST_PARTS, n * 45 // 1_000_000)
         self.append([0], keys.unionByName(body_keys(one)).withColumn("gen", F.lit(0)), self.narrowed(one).withColumn("gen", F.lit(0)))
+        # last of all, so that a load that broke off doesn't count
+        self.spark.createDataFrame([(self.partitions, self.common.tolist())], SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/settings")
+        self.loaded = True
 
     def narrowed(self, bodies: DataFrame) -> DataFrame:
         common = self.common
@@ -348,29 +364,37 @@ def dedup_batches(captures: DataFrame, incoming: DataFrame, blobs: DataFrame, pa
     blobs: blob_id, store_path, body. Other columns are ignored. NULL or empty bodies and bodies without any
     letter or digit match nothing; NULL and placeholder identifiers match nothing; a NULL batch_no comes last.
     Repeated rows are repeats: the later arrival is known. Empty tables give an empty result.
+
+    path: folder of the store. A new one is loaded with captures first; in one that holds a store captures aren't
+    read, and incoming comes after all it has seen, whatever the batch numbers. blobs must hold earlier texts too:
+    those of candidates are looked up, only those of incoming are fingerprinted.
     """
     spark = captures.sparkSession
     store = HistoryStore(spark, path, blobs.select(F.col("blob_id").alias("text_id"), F.col("body").alias("text")))
     never = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("id"))
     stored = blobs.select(F.col("blob_id").alias("text_id"), "store_path", F.col("body").alias("text"))
 
-    marks = captures.select("store_path").filter(F.col("store_path").isNotNull()).distinct()
-    old = features(stored).join(marks, "store_path", "left_semi").withColumn("seen", never)
-    history_keys = exact_keys(captures.select("sha256", "digest"), []).withColumn("seen", never)
-    store.load(history_keys.select("fp", "check", "seen"), old.select("body", "words", "fps", "text_id", "seen"))
-
-    arrivals = incoming.select("arrival_id", "batch_no", "digest", "sha256", "store_path").withColumn("seen", seen(F.col("batch_no"), F.col("arrival_id")))
-    arrivals = arrivals.withColumn("gen", F.col("seen.batch") + 1)
+    if not store.loaded:
+        marks = captures.select("store_path").filter(F.col("store_path").isNotNull()).distinct()
+        old = features(stored).join(marks, "store_path", "left_semi").withColumn("seen", never)
+        history_keys = exact_keys(captures.select("sha256", "digest"), []).withColumn("seen", never)
+        store.load(history_keys.select("fp", "check", "seen"), old.select("body", "words", "fps", "text_id", "seen"))
+
+    # the batches at hand, in order, are the generations after the last
+    numbers = sorted({LAST if r.batch_no is None else r.batch_no for r in incoming.select("batch_no").distinct().collect()})  # one row per batch
+    place = F.array_position(F.array(*map(F.lit, numbers)).cast("array<int>"), F.coalesce(F.col("batch_no").cast("int"), F.lit(LAST)))
+    arrivals = incoming.select("arrival_id", "batch_no", "digest", "sha256", "store_path").withColumn("seen", seen(place + store.last, F.col("arrival_id")))
+    arrivals = arrivals.withColumn("gen", F.col("seen.batch"))
     new_paths = arrivals.select("store_path").filter(F.col("store_path").isNotNull()).distinct()
     fresh = store.narrowed(features(runtime.join_small(stored, new_paths, ["store_path"], "left_semi"), query=True))
-    fresh = runtime.written(fresh, f"{path}/fresh")
-    placed = runtime.written(arrivals.join(fresh.select("store_path", "text_id", "body"), "store_path", "left"), f"{path}/arrivals")
+    fresh = runtime.written(fresh, runtime.new_dir(spark, "fresh"))
+    placed = runtime.written(arrivals.join(fresh.select("store_path", "text_id", "body"), "store_path", "left"), runtime.new_dir(spark, "arrivals"))
     first = placed.filter(F.col("body").isNotNull()).groupBy("gen", "body").agg(F.min("seen").alias("seen"))
     one = fresh.groupBy("body").agg(*(F.min_by(c, "text_id").alias(c) for c in ("words", "fps", "asked", "kept")), F.min("text_id").alias("text_id"))
-    bodies = runtime.written(first.join(one, "body"), f"{path}/bodies")
+    bodies = runtime.written(first.join(one, "body"), runtime.new_dir(spark, "bodies"))
     # all rows that arrived count as seen, so the generations of all batches at hand can be added at once;
     # check() lets each batch see its own and earlier generations only
     gens = [r.gen for r in placed.select("gen").distinct().collect()]  # one row per batch
     store.append(gens, exact_keys(placed, ["seen", "gen"], body=True).select("fp", "check", "seen", "gen"), bodies.select("body", "words", "fps", "kept", "text_id", "seen", "gen"))
-    known = runtime.written(store.check(placed, bodies), f"{path}/known")
+    known = runtime.written(store.check(placed, bodies), runtime.new_dir(spark, "known"))
     return incoming.select("arrival_id", "batch_no").join(known, "arrival_id", "left")
