@@ -115,6 +115,14 @@ def test_sequences_equal_brute_force(rows):
     assert repeats.frequent_sequences(repeats.line_items(t.filter("false")), 4).count() == 0
 
 
+def test_long_sequences(rows):
+    """A six-line footer is reported whole, with all its parts."""
+    footer = "\n".join(["alpha", "beta", "", "gamma", "delta", "epsilon", "zeta"])
+    t = rows("doc bigint, source string, text string", *[(i, "s", f"own {'x' * i}\n{footer}") for i in range(1, 13)])
+    got = Counter((x.length, x.support) for x in repeats.frequent_sequences(repeats.line_items(t)).collect())
+    assert got == {(n, 12): 7 - n for n in range(1, 7)}
+
+
 def test_line_key(rows):
     t = rows("doc bigint, source string, text string", *[(i, "s", f"Nr. {i}: Maße\n\n12\nonly{chr(97 + i)}") for i in range(12)], (99, None, "x"))
     got = {(r.doc, r.line_no) for r in repeats.repeated_lines(repeats.line_items(t)).collect()}

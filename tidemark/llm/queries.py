@@ -71,7 +71,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of up to three lines that stand in at least 10 files of a site."""
+    """Runs of neighbouring lines, of any length, that stand in at least 10 files of a site."""
     return repeats.frequent_sequences(site_lines(spark, d)).select("source", "length", F.col("example.doc").alias("doc"), F.col("example.first_line").alias("first_line"), F.col("example.last_line").alias("last_line"), "support")
 
 
