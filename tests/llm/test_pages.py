@@ -32,6 +32,13 @@ def test_main_body():
     assert outside == [1, 2, 3, 4, 6, 8, 12, 13, 14, 19, 20, 21, 22]
 
 
+def test_thin_blocks_below_the_article_stay_outside():
+    """Lines of an unknown wording don't widen the span if their density is below the bound."""
+    article = "How Ada found the map\n" + "\n".join("The map of the old harbour was found on 3 May 2001 with 12 drawings, and nobody at the museum had counted the ships before." for _ in range(4))
+    page = article + "\nBack to top\n- Ox\n- Elk\n- Emu"
+    assert main_body.main_lines(page) == ([1, 2, 3, 4, 5], [6, 7, 8, 9])
+
+
 def test_headline_above_byline_and_link():
     page = "Home > A > The map of Town found again by Ann\nThe map of Town found again by Ann\nBy Ann Lee\nBackground\nMore: Other story about the Town map\nThe crew of Town copied a narrow list with 20 folders.\nBack to top"
     assert main_body.main_lines(page) == ([2, 4, 6], [1, 3, 5, 7])

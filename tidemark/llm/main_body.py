@@ -138,7 +138,7 @@ def split_lines(lines: list[str], kinds: list[str]) -> tuple[list[int], list[int
     core = max(range(len(blocks)), key=lambda b: (density_sum(blocks[b], body), -b))
     bound = min(density(body, body), density(blocks[core], body))
     prose = [any(kinds[j] in ("text", "list", "table") for j in range(*spans[b])) for b in range(len(blocks))]
-    dense = [b for b in range(len(blocks)) if b == core or prose[b] or density(blocks[b], body) >= bound and len(blocks[b].children) > 1]
+    dense = [b for b in range(len(blocks)) if b == core or density(blocks[b], body) >= bound and (prose[b] or len(blocks[b].children) > 1)]
     first, last = dense[0], dense[-1]
     # headline and subheadings adjoin the article from above, across by-lines and links to other stories
     while first > 0 and not any(k in ("crumb", "menu") for k in kinds[spans[first - 1][1] : spans[first][0]]):
