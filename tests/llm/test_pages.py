@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm import main_body, page_lines, residue
+from tidemark.llm import main_body, page_lines, recurrence, residue
 
 PAGE = """We use cookies to count visits. Read the cookie policy or press Accept.
 * News
@@ -26,36 +26,62 @@ Back to top
 © 2001 Site. All rights reserved."""
 
 
+def lines_of(text, recurs=()):
+    """main and outside lines of a page whose lines at these numbers recur."""
+    looks = recurrence.text_lines(text)
+    codes, flags, chars, parts, _ = map(list, zip(*looks))
+    return main_body.split_lines(codes, flags, chars, parts, {n - 1 for n in recurs})
+
+
 def test_main_body():
-    main, outside = main_body.main_lines(PAGE)
+    main, outside = lines_of(PAGE, (1, 19, 21, 22))
     assert main == [5, 7, 9, 10, 11, 15, 16, 17]
     assert outside == [1, 2, 3, 4, 6, 8, 12, 13, 14, 19, 20, 21, 22]
 
 
+def test_density_decides(monkeypatch):
+    """With one density for all nodes nothing is outside."""
+    monkeypatch.setattr(main_body, "density", lambda n, body: 1.0)
+    assert lines_of(PAGE, (1, 19, 21, 22))[1] == []
+
+
+def test_unknown_wordings():
+    """Furniture of no listed wording is all link characters where it recurs, and part of the body where it doesn't."""
+    page = "Zorps and blips make it hum. Knarf them?\nHow Ada found the map\nThe map of the old harbour was found on 3 May 2001 with 12 drawings from the museum.\nGlimpse\nNobody at the harbour had counted the ships, although the tickets were gone.\nWobble this page onward\nThe keepers of Zorps hold no blame for anything said here."
+    assert lines_of(page, (1, 4, 6, 7)) == ([2, 3, 4, 5], [1, 6, 7])
+    assert 7 in lines_of(page)[0]
+
+
 def test_thin_blocks_below_the_article_stay_outside():
     """Lines of an unknown wording don't widen the span if their density is below the bound."""
     article = "How Ada found the map\n" + "\n".join("The map of the old harbour was found on 3 May 2001 with 12 drawings, and nobody at the museum had counted the ships before." for _ in range(4))
     page = article + "\nBack to top\n- Ox\n- Elk\n- Emu"
-    assert main_body.main_lines(page) == ([1, 2, 3, 4, 5], [6, 7, 8, 9])
+    assert lines_of(page, (6,)) == ([1, 2, 3, 4, 5], [6, 7, 8, 9])
 
 
 def test_headline_above_byline_and_link():
     page = "Home > A > The map of Town found again by Ann\nThe map of Town found again by Ann\nBy Ann Lee\nBackground\nMore: Other story about the Town map\nThe crew of Town copied a narrow list with 20 folders.\nBack to top"
-    assert main_body.main_lines(page) == ([2, 4, 6], [1, 3, 5, 7])
+    assert lines_of(page, (4, 7)) == ([2, 4, 6], [1, 3, 5, 7])
 
 
 @pytest.mark.parametrize(
     "line,kind",
     [
-        ("", "blank"), ("Error 404", "message"), ("{{ title }}", "message"), ("by %%NAME%%", "message"), ("Lorem ipsum. Lorem ipsum.", "message"), ("asdf asdf asdf dolor viniam elitra.", "message"),
-        ("The address /a/b does not exist on this server.", "message"), ("Bitte aktivieren Sie JavaScript, um fortzufahren.", "message"), ("[body] (ref. A-B)", "message"),
+        ("", "blank"), ("Error 404", "message"), ("{{ title }}", "message"), ("by %%NAME%%", "message"), ("Lorem ipsum. Lorem ipsum.", "message"), ("asdf asdf asdf dolor viniam elitra.", "message"), ("[body] (ref. A-B)", "message"),
         ("The old template of Town printed {{ title }} on each card until Bob repaired it.", "text"), ("Printers at Town set Lorem ipsum in lead to test a new face.", "text"), ("Lorem ipsum is what the printers of Town set in lead.", "text"),
-        ("Für das Menü bitte JavaScript einschalten.", "furniture"), ("Posted by Ann Lee on 01.10.2012", "furniture"), ("» Back to top", "furniture"), ("Site | Imprint | Privacy | Terms of use", "furniture"),
-        ("News · Shop · Press", "menu"), ("A | B | 3", "table"), ("- one", "list"), ("1. one", "list"), ("Latest from Site", "related_head"), ("Lire aussi : x y", "related"), ("Home / News > Title here", "crumb"), ("What happened next", "title"),
+        ("Posted by Ann Lee on 01.10.2012", "link"), ("Site | Imprint | Privacy | Terms of use", "table"), ("Help", "menu"),
+        ("News · Shop · Press", "link"), ("A | B | 3", "table"), ("- one", "list"), ("1. one", "list"), ("Latest from Site", "related_head"), ("Lire aussi : x y", "link"), ("Home / News > Title here", "crumb"), ("What happened next", "title"),
     ],
 )
 def test_kinds(line, kind):
-    assert page_lines.kind(line) == kind
+    assert page_lines.NAMES[page_lines.kind(line)] == kind
+
+
+def test_masked_lines():
+    same = ["The address /a/b does not exist.", "The address /c/d/e does not exist."], ["Page viewed 12 times", "Page viewed 1,300 times"], ["by {{ name }}", "by %%AUTHOR%%"], ["Broken (abc).", "Broken (xyz)."], ["Oops! Oops!", "Oops!"]
+    for a, b in same:
+        assert page_lines.masked(page_lines.clean(a)) == page_lines.masked(page_lines.clean(b))
+    assert page_lines.masked("a map of town") != page_lines.masked("a map of ships")
 
 
 SITES = "store_path string, site string, html boolean"
@@ -73,13 +99,17 @@ def test_residue(rows):
     assert residue.residue(t, sites.filter("false")).count() == 9
 
 
-def test_hints_count_only_where_they_recur(rows):
+def test_widespread_lines_are_messages_without_any_rule(rows):
+    """A wording no list holds is a message where it stands alone on many sites, and none on one site or beside content."""
     S = "id bigint, store_path string, text string"
-    wide = rows(S, *[(i, f"p{i}", f"Error 404\nNumber {i} is blocked for everybody.") for i in range(6)], (9, "p9", "Error 404\nOnly here the harbour is blocked by ships."))
-    sites = rows(SITES, *[(f"p{i}", f"s{i}", True) for i in range(6)], ("p9", "s1", True))
-    assert sorted(r.id for r in residue.residue(wide, sites).filter("residue").collect()) == [0, 1, 2, 3, 4, 5]
-    one_site = rows(SITES, *[(f"p{i}", "s", True) for i in range(10)])
-    assert residue.residue(wide, one_site).filter("residue").count() == 0
+    odd = "Gurgle the {} knob before you enter."
+    alone = [(i, f"p{i}", odd.format(i)) for i in range(6)]
+    content = [(10 + i, f"q{i}", f"The crew number {'abcdefg'[i]} of Town copied a narrow list and two older maps.\nPlease wave at the tower.") for i in range(6)]
+    files = rows(S, *alone, *content)
+    sites = rows(SITES, *[(f"p{i}", f"s{i}", True) for i in range(6)], *[(f"q{i}", f"s{i}", True) for i in range(6)])
+    assert sorted(r.id for r in residue.residue(files, sites).filter("residue").collect()) == [0, 1, 2, 3, 4, 5]
+    one_site = rows(SITES, *[(f"p{i}", "s", True) for i in range(6)], *[(f"q{i}", "s", True) for i in range(6)])
+    assert residue.residue(files, one_site).filter("residue").count() == 0
 
 
 def test_pages_and_texts(rows):
@@ -88,12 +118,12 @@ def test_pages_and_texts(rows):
     sites = rows(SITES, *[(p, "s", p != "d") for p in "abcde"])
     pages = main_body.html_pages(t, sites)
     got = {r.id: (r.main, r.outside) for r in pages.collect()}
-    assert set(got) == {1, 2, 3} and got[2] == ([], []) and got[3] == ([], []) and len(got[1][0]) == 8
+    assert set(got) == {1, 2, 3} and got[2] == ([], []) and got[3] == ([], []) and len(got[1][0]) >= 8
     texts = {r.id: r.main_text for r in main_body.body_text(t, pages).collect()}
-    assert texts[1].startswith("How Ada found the map\nThe map") and not texts[2] and not texts[3]
+    assert "How Ada found the map\nThe map" in texts[1] and not texts[2] and not texts[3]
     assert main_body.html_pages(t.filter("false"), sites).count() == 0
 
 
 def test_very_long_text():
     long = "The harbour was counted again by the crew of the old ship. " * 20_000
-    assert main_body.main_lines("Home > A > T\nT\n" + long) == ([2, 3], [1])
+    assert lines_of("Home > A > T\nT\n" + long) == ([2, 3], [1])

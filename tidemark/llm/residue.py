@@ -1,85 +1,48 @@
 """Problem 2: files that hold template residue, filler, error or script messages instead of content.
 
-Every line is masked (numbers, addresses, dates), hashed and counted over all sources. A line is a message by
-a phrase or placeholder rule; a line that only hints at a message becomes one if its masked form stands on
-many sources and in few files each, which page furniture does not. A file is residue if it holds a message and
-no sentence, list item or table row of its own.
+Lines are masked (numbers, addresses, dates, names), hashed and counted over all sources (recurrence). A group of
+equal hashes that stands on many sources is a message if most of its files have nothing of their own beside
+lines that recur; page furniture, which recurs as well, stands beside content. That needs no phrase: an
+unknown wording counts as soon as it is widespread. A rare line is a message by rule only: nothing but unfilled
+placeholders, filler, or the form of a numbered error or failed program. A file is residue if it holds a message and
+no sentence, list item or table row that recurs neither on its site nor elsewhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import runtime
 from tidemark.functions import urls
 from tidemark.llm import page_lines as P
-
-#: Sources on which a hinted line must stand to count as a message.
-MIN_SITES = 5
-
-
-def count_lines(lines: list[str], kinds: list[str]) -> tuple[int, int, list[int]]:
-    """Message lines, lines of the page's own, and hashes of masked lines that hint at a message."""
-    own, hints = 0, []
-    for line, k in zip(lines, kinds):
-        if k in ("text", "list", "table"):
-            c = P.clean(line) if k == "text" and len(line) < 300 else ""
-            if c and len(c) < 200 and P.MESSAGE_HINT.search(c):
-                hints.append(xxhash.xxh3_64_intdigest(P.masked(c)) - 2**63)
-            else:
-                own += 1
-    return kinds.count("message"), own, hints
-
-
-COUNTS = "messages int, own int, hints array<bigint>"
-
-
-def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, store_path, text) to (id, store_path, messages, own, hints)."""
-    for b in batches:
-        rows = []
-        for text in b.column("text").to_pylist():
-            lines = (text or "").split("\n")
-            rows.append(count_lines(lines, [P.KINDS[x] for x in lines]))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("store_path"), *count_arrays(rows)], ["id", "store_path", "messages", "own", "hints"])
-
-
-def count_arrays(rows: list[tuple[int, int, list[int]]]) -> list[pa.Array]:
-    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()))
-    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-
-
-def verdicts(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """rows (id, store_path, messages, own, hints; a written table) to (id, messages, own, residue BOOLEAN).
-
-    sites: (store_path, site). Only hinted lines meet their sites, so texts never move.
-    """
-    hinted = rows.filter(F.size("hints") > 0)
-    seen = hinted.select("store_path", F.explode("hints").alias("h")).join(sites.select("store_path", "site"), "store_path").filter(F.col("site").isNotNull())
-    wide = seen.select("site", "h").distinct().groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= MIN_SITES).select("h", F.lit(True).alias("wide"))
-    # only files without any other content of their own need a verdict on their hinted lines
-    open_ = hinted.filter("own = 0").select("id", "store_path", F.explode("hints").alias("h")).join(wide, "h", "left")
-    verdict = open_.groupBy("id", "store_path").agg(F.count("*").alias("n"), F.count("wide").alias("n_wide"))
-    out = rows.select("id", "store_path", "messages", "own", F.size("hints").alias("hinted")).join(verdict, ["id", "store_path"], "left")
-    own = F.when(F.col("own") > 0, F.col("own") + F.col("hinted")).otherwise(F.coalesce(F.col("n") - F.col("n_wide"), F.lit(0)))
-    out = out.select("id", (F.col("messages") + F.coalesce("n_wide", F.lit(0))).cast("int").alias("messages"), own.cast("int").alias("own"))
+from tidemark.llm import recurrence
+
+#: Share of a widespread line's files that must hold nothing of their own.
+ALONE = 0.5
+
+
+def verdicts(pages: DataFrame, wide_lines: DataFrame) -> DataFrame:
+    """Tables of recurrence.with_recurrence to (id, messages, own, residue BOOLEAN)."""
+    content = F.array(*[F.lit(c).cast("tinyint") for c in sorted(P.CONTENT)])
+    own = F.size(F.filter("codes", lambda c, i: F.array_contains(content, c) & ~F.array_contains("recurs", i)))
+    ruled = F.size(F.filter("codes", lambda c: c == P.MESSAGE))
+    files = pages.select("id", own.alias("own"), ruled.alias("ruled"), F.size("wide").alias("n_wide"))
+    files = runtime.written(files, runtime.new_dir(pages.sparkSession, "files"))
+    beside = wide_lines.join(files.filter("n_wide > 0").select("id", (F.col("own") == 0).alias("alone")), "id")
+    share = beside.groupBy("h").agg(F.avg(F.col("alone").cast("int")).alias("share")).filter(F.col("share") >= ALONE).select("h")
+    by_use = runtime.join_small(beside.filter("alone").select("id", "h"), share, ["h"], "left_semi", salt=recurrence.SALT).groupBy("id").agg(F.count("*").alias("used"))
+    out = runtime.join_small(files, by_use, ["id"], "left").select("id", (F.col("ruled") + F.coalesce("used", F.lit(0))).cast("int").alias("messages"), "own")
     return out.withColumn("residue", (F.col("messages") > 0) & (F.col("own") == 0))
 
 
 def residue(texts: DataFrame, sites: DataFrame) -> DataFrame:
-    """texts (id, store_path, text) and sites (store_path, site) to (id, messages, own, residue BOOLEAN).
+    """texts (id, store_path, text) and sites (store_path, site, html) to (id, messages, own, residue BOOLEAN).
 
-    One row per text; the path of a text is its key. NULL and empty texts have no messages and are not residue;
-    a text without a site counts for no source. Other columns are ignored.
+    One row per text; ids are unique. NULL and empty texts have no messages and are not residue; a text without
+    a site counts for no source. Other columns are ignored.
     """
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, store_path string, {COUNTS}"
-    rows = texts.select("id", "store_path", "text").mapInArrow(count_rows, schema)
-    return verdicts(runtime.written(rows, runtime.new_dir(texts.sparkSession, "residue")), sites)
+    return verdicts(*recurrence.with_recurrence(texts, sites))
 
 
 def store_sites(*tables: DataFrame) -> DataFrame:
