@@ -178,14 +178,63 @@ def test_leaks_equal_brute_force(rows, monkeypatch):
                 want.add((d, i))
     t = rows("id bigint, text string, item bigint", *[(*x, 7) for x in docs], (900, None, 1), (901, "", 1), (902, "too short", 1))
     items = rows("item bigint, passage string", *[(i, " ".join(p)) for i, p in passages.items()], (77, None), (78, "short one"))
-    for limit in (leaks.INDEX_WINDOWS, 0):  # the second goes by joins
+    results = []
+    for limit in (leaks.INDEX_WINDOWS, 300):  # the second takes the items in blocks
         monkeypatch.setattr(leaks, "INDEX_WINDOWS", limit)
-        got = {(r.id, r.item) for r in leaks.find_leaks(t, items).filter("equal_windows > 0").collect()}
-        assert got == want
+        results.append(sorted(map(tuple, leaks.find_leaks(t, items).collect())))
+        assert {(r[0], r[1]) for r in results[-1] if r[3] > 0} == want
+    assert results[0] == results[1]  # all columns
     assert leaks.find_leaks(t.filter("false"), items).count() == 0
     assert leaks.find_leaks(t, items.filter("false")).count() == 0
 
 
+def test_windows_with_a_shared_shingle():
+    """The sieve keeps exactly the windows that hold a shingle of an item."""
+    r = np.random.default_rng(5)
+    item, ids = r.integers(0, 2**63, 40, dtype=np.uint64), r.integers(0, 2**63, 120, dtype=np.uint64)
+    ids[30:36], ids[80:85], ids[116:] = item[3:9], item[20:25], item[:4]
+    index = leaks.ItemIndex([(1, item)])
+    have = set(leaks.W.shingles(item).tolist())
+    want = [i for i in range(len(ids) - 11) if have & set(leaks.W.shingles(ids[i : i + 12]).tolist())]
+    assert index.shared(ids).tolist() == want and len(want) > 10
+    assert index.shared(ids[:3]).tolist() == [] and leaks.ItemIndex([]).shared(ids).tolist() == []
+
+
+def test_recall_of_similar_windows():
+    """Against brute force over all pairs of windows; equal ones are found without exception."""
+    r = random.Random(11)
+    shared = words_of(500, 7)  # passages with a part in common, so that losing it costs little similarity
+    items = [(i, leaks.text_words(" ".join([*words_of(i, 20), *shared, *words_of(100 + i, 20)]))) for i in range(8)]
+    index = leaks.ItemIndex(items)
+    similar = hit = 0
+    for _ in range(60):
+        ids = r.choice(items)[1].copy()
+        ids[r.randrange(len(ids))] = np.uint64(r.getrandbits(63))
+        found = set(zip(*(x.tolist() for x in index.pairs(leaks.simhashes(ids)))))
+        for p in range(len(ids) - 11):
+            y = index.flat[index.start[:, None] + np.arange(12)]
+            x = np.repeat(ids[None, p : p + 12], len(y), axis=0)
+            for q in np.flatnonzero(index.similarity(leaks.row_shingles(x), leaks.row_shingles(y)) >= leaks.SIMILAR).tolist():
+                same = np.array_equal(x[q], y[q])
+                assert not same or (p, q) in found
+                similar, hit = similar + (not same), hit + (not same and (p, q) in found)
+    assert similar > 20 and hit >= 0.9 * similar
+
+
+def test_weighted_similarity():
+    index = leaks.ItemIndex([(i, np.arange(20, dtype=np.uint64) + np.uint64(5 * i)) for i in range(3)])
+    count = {}
+    for ids in index.words:
+        for s in set(leaks.W.shingles(ids).tolist()):
+            count[s] = count.get(s, 0) + 1
+    weight = lambda g: sum(np.log1p(3 / count[s]) if s in count else np.log1p(3) for s in g)
+    x, y = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 99, 98], np.uint64), np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], np.uint64)
+    for a, b in ((x, y), (y, y), (np.zeros(12, np.uint64), y), (x, np.zeros(12, np.uint64))):
+        s, t = set(leaks.W.shingles(a).tolist()), set(leaks.W.shingles(b).tolist())
+        got = index.similarity(leaks.row_shingles(a[None]), leaks.row_shingles(b[None]))[0]
+        assert abs(got - weight(s & t) / weight(s | t)) < 1e-12
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 
