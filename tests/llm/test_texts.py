@@ -107,25 +107,25 @@ def test_sequences_equal_brute_force(rows):
     r = random.Random(1)
     texts = [(i, r.choice(["a", "a", "b", None]), r.choice([None, "\n".join(r.choice(["One.", "ONE 2", "Two", "", "3", f"own{chr(97 + i % 26)}{chr(97 + i // 26)}", "Größe", "GRÖSSE"]) for _ in range(r.randint(0, 6)))])) for i in range(120)]
     t = rows("doc bigint, source string, text string, item string", *[(*x, "clash") for x in texts])
-    items = repeats.line_items(t)
+    items = repeats.line_hashes(t)
     got = Counter((x.source, x.length) for x in repeats.frequent_sequences(items, 4, 3).collect())
     assert got == brute_sequences(texts, 4, 3)
     cleaned = {x.doc: x.text for x in repeats.remove_repeated(t.select("doc", "source", "text"), 4).collect()}
     assert len(cleaned) == 120 and all("One" not in (cleaned[i] or "") for i, s, x in texts if s == "a" and x)
-    assert repeats.frequent_sequences(repeats.line_items(t.filter("false")), 4).count() == 0
+    assert repeats.frequent_sequences(repeats.line_hashes(t.filter("false")), 4).count() == 0
 
 
 def test_long_sequences(rows):
     """A six-line footer is reported whole, with all its parts."""
     footer = "\n".join(["alpha", "beta", "", "gamma", "delta", "epsilon", "zeta"])
     t = rows("doc bigint, source string, text string", *[(i, "s", f"own {'x' * i}\n{footer}") for i in range(1, 13)])
-    got = Counter((x.length, x.support) for x in repeats.frequent_sequences(repeats.line_items(t)).collect())
+    got = Counter((x.length, x.support) for x in repeats.frequent_sequences(repeats.line_hashes(t)).collect())
     assert got == {(n, 12): 7 - n for n in range(1, 7)}
 
 
 def test_line_key(rows):
     t = rows("doc bigint, source string, text string", *[(i, "s", f"Nr. {i}: Maße\n\n12\nonly{chr(97 + i)}") for i in range(12)], (99, None, "x"))
-    got = {(r.doc, r.line_no) for r in repeats.repeated_lines(repeats.line_items(t)).collect()}
+    got = {(r.doc, r.line_no) for r in repeats.repeated_lines(repeats.line_hashes(t)).collect()}
     assert got == {(i, 1) for i in range(12)}
 
 

@@ -60,9 +60,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(doc, source, line_no, item, line) of every line with letters of every blob."""
+    """(doc, source, lines) of every blob, written: hashes of its lines."""
     blobs = runtime.table(spark, d, "blobs").select(F.col("blob_id").alias("doc"), "store_path", F.col("body").alias("text"))
-    return repeats.line_items(blobs.join(sites(spark, d).select("store_path", F.col("site").alias("source")), "store_path", "left"))
+    placed = repeats.line_hashes(blobs).join(sites(spark, d).select("store_path", F.col("site").alias("source")), "store_path", "left")
+    return runtime.written(placed.select("doc", "source", "lines"), runtime.new_dir(spark, "lines"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
