@@ -149,6 +149,22 @@ def to_fetch(index: DataFrame, captures: DataFrame, good_paths: DataFrame, failu
     return out.join(sha, "digest", "left")
 
 
+def repaired(captures: DataFrame, found: DataFrame) -> DataFrame:
+    """Captures whose database row disagrees with their sound file, with sha256 and size_bytes set to the file's.
+
+    captures: with blob, the name of their file; found: (digest, sha256, sha1, size) of the files. A file whose SHA-1
+    isn't the one its name gives is damaged and repairs nothing.
+    """
+    names = F.col("blob").rlike("^[A-Za-z2-7]{32}$")
+    files = found.filter(F.col("sha256").isNotNull()).groupBy("digest").agg(*(F.first(c).alias(f"__{c}") for c in ("sha256", "sha1", "size"))).withColumnRenamed("digest", "blob")
+    both = captures.join(files, "blob").filter(~names | (F.lower("blob") == F.col("__sha1")))
+    same = F.coalesce((F.lower(F.trim("sha256")) == F.col("__sha256")) & (values.digits_or_zero("size_bytes") == F.col("__size")), F.lit(False))
+    # a different SHA-256 without a SHA-1 to vouch for the file means that the file changed
+    unknown = (F.coalesce(F.trim("sha256"), F.lit("")) == "") | names
+    fixed = both.filter(~same & unknown).withColumns({"sha256": F.col("__sha256"), "size_bytes": F.col("__size").cast("string")})
+    return fixed.select(*[c for c in captures.columns if c != "blob"])
+
+
 def destinations(captures: DataFrame) -> DataFrame:
     """Names in the document view: the first digest owns a name, others get a suffix of their digest."""
     kind = urls.document_extension("original_url", "mimetype")

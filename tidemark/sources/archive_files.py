@@ -70,13 +70,58 @@ def load_failures(spark: SparkSession, folder: str) -> DataFrame:
     return load_table(spark, os.path.join(folder, "_failed_downloads.csv"), schema.FAILURE_COLUMNS)
 
 
-def load_blobs(spark: SparkSession, folder: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """(digest, path, length, content) of the stored files; files over max_bytes keep a NULL content."""
+def load_blobs(spark: SparkSession, folder: str, max_bytes: int = 2**31 - 1024) -> DataFrame:
+    """(digest, path, length, content) of the stored files.
+
+    No JVM array holds more than max_bytes, so a larger file has a NULL content; its length tells it from a missing one,
+    and file_hashes() reads it in pieces.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(os.path.join(folder, "_store"))
     digest = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(digest.alias("digest"), "path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
 
 
+def file_hashes(files: DataFrame) -> DataFrame:
+    """files (digest, path) to (digest, sha256, sha1, size) by reading them in pieces, whatever their size.
+
+    path must be readable on every executor. A file that can't be read has NULL hashes.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        from tidemark.operators import download
+
+        for pdf in batches:
+            out = []
+            for digest, path in zip(pdf["digest"], pdf["path"]):
+                try:
+                    out.append((digest, *download.digests_of(local(path))))
+                except OSError:
+                    out.append((digest, None, None, None))
+            yield pd.DataFrame(out, columns=["digest", "sha256", "sha1", "size"]).astype({"size": "Int64"})
+
+    return files.select("digest", "path").mapInPandas(run, "digest string, sha256 string, sha1 string, size bigint")
+
+
+def read_manifest(path: str) -> dict:
+    """The manifest's values, none if it is missing or damaged."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except (ValueError, OSError):
+        return {}
+    return data if isinstance(data, dict) else {}
+
+
+def archive_domain(captures: DataFrame) -> str | None:
+    """Host of the first capture with an address."""
+    from tidemark.functions import urls
+
+    first = captures.filter(F.trim("original_url") != "").agg(F.min_by(urls.domain("original_url"), "row_ord")).first()[0]
+    return first or None
+
+
 def save_table(rows: DataFrame, path: str, columns: tuple[str, ...], order: str = "row_ord") -> None:
     """Write a CSV table in row order through a temporary file and an atomic rename; rows stream to the driver."""
     temporary = f"{path}.part"
@@ -97,15 +142,9 @@ def save_raw_pages(lines: DataFrame, path: str) -> None:
 
 def save_manifest(totals: DataFrame, path: str, settings: dict) -> dict:
     """Write totals (one row) and settings as JSON; archive_created of an earlier manifest is kept."""
-    old = {}
-    if os.path.isfile(path):
-        try:
-            with open(path, encoding="utf-8") as f:
-                old = json.load(f)
-        except (ValueError, OSError):
-            old = {}
+    old = read_manifest(path)
     data = {"schema_version": 2, **settings, **totals.first().asDict()}
-    if isinstance(old, dict) and old.get("archive_created"):
+    if old.get("archive_created"):
         data["archive_created"] = old["archive_created"]
     with open(f"{path}.part", "w", encoding="utf-8") as f:
         json.dump(data, f, ensure_ascii=False, indent=2)
@@ -114,22 +153,34 @@ def save_manifest(totals: DataFrame, path: str, settings: dict) -> dict:
 
 
 def materialize(view: DataFrame, store: str, target: str) -> DataFrame:
-    """Copy stored files to their places: view (digest, rel_path) to (rel_path, written BOOLEAN)."""
+    """Put stored files at their places: view (digest, rel_path[, wrapped]) to (rel_path, written BOOLEAN).
+
+    Files whose row says wrapped hold a gzip transfer encoding and are written unpacked, in pieces.
+    """
+    if "wrapped" not in view.columns:
+        view = view.withColumn("wrapped", F.lit(False))
 
     def run(batches: Iterator) -> Iterator:
+        import gzip
+        import uuid
+
         import pandas as pd
 
         for pdf in batches:
             done = []
-            for digest, rel in zip(pdf["digest"], pdf["rel_path"]):
+            for digest, rel, wrapped in zip(pdf["digest"], pdf["rel_path"], pdf["wrapped"]):
                 source, dest = os.path.join(store, digest[:2], digest), os.path.join(target, rel)
+                part = f"{dest}.{uuid.uuid4().hex[:8]}.part"
                 try:
                     os.makedirs(os.path.dirname(dest), exist_ok=True)
-                    shutil.copyfile(source, f"{dest}.part")
-                    os.replace(f"{dest}.part", dest)
+                    with (gzip.open if wrapped else open)(source, "rb") as a, open(part, "wb") as b:
+                        shutil.copyfileobj(a, b, 1 << 20)
+                    os.replace(part, dest)
                     done.append(True)
-                except OSError:
+                except (OSError, EOFError):
+                    if os.path.exists(part):
+                        os.remove(part)
                     done.append(False)
             yield pd.DataFrame({"rel_path": pdf["rel_path"], "written": done})
 
-    return view.select("digest", "rel_path").mapInPandas(run, "rel_path string, written boolean")
+    return view.select("digest", "rel_path", "wrapped").mapInPandas(run, "rel_path string, written boolean")

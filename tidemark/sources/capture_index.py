@@ -5,7 +5,11 @@
 
 The transport is a function url -> text; without one urllib is used. Filters on statuscode and timestamp are
 pushed into the request. Pages follow a resume key, so one scope is one sequential partition; several date
-slices give several partitions.
+slices give several partitions. Rows carry row_ord, their place in the scan.
+
+An incomplete scan never passes for a whole one: it raises ScanError, or with option partial=keep gives the rows
+read and a last row whose scan_error holds the code (TIMEOUT, NETWORK, HTTP_nnn, FORMAT) and whose other columns
+are NULL. Option kind=status reads the status history of a target instead: all statuses, no dates, one page.
 """
 
 from __future__ import annotations
@@ -17,16 +21,54 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, IsNotNull, LessThanOrEqual
 
 from tidemark import schema
+from tidemark.operators.captures import first_per
 
 PAGE_ROWS = 100_000
 RETRYABLE = frozenset((408, 425, 500, 502, 503, 504))
-WELL_KNOWN = ("robots.txt", "sitemap.xml", "sitemap_index.xml")
+#: Where sites keep their sitemaps, and names that subdomains often have.
+WELL_KNOWN = ("robots.txt", "sitemap.xml", "sitemap_index.xml", "sitemap-index.xml", "sitemap1.xml", "wp-sitemap.xml", "sitemap/sitemap.xml")
+SUBDOMAIN_NAMES = ("www", "mail", "webmail", "shop", "blog", "news", "api", "cdn", "static", "m", "mobile", "support", "help", "docs", "portal", "intranet", "corp", "login", "admin", "cabinet", "old", "test", "dev", "en", "ru")
+MOST_SUBDOMAINS = 80
+STATUS_COLUMNS = ("original", "timestamp", "statuscode")
+
+
+class ScanError(Exception):
+    """A scan that ended early; code says why."""
+
+    def __init__(self, code: str):
+        super().__init__(f"the scan is incomplete: {code}")
+        self.code = code
+
+
+def error_code(e: Exception) -> str:
+    code = getattr(e, "code", None)
+    if isinstance(code, int):
+        return f"HTTP_{code}"
+    if isinstance(e, ValueError):
+        return "FORMAT"
+    late = isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError) or "timed out" in str(e).lower()
+    return "TIMEOUT" if late else "NETWORK"
+
+
+def retry_after(header: str | None, default: int = 30, now: datetime | None = None) -> int:
+    """Seconds a Retry-After header asks for, given as a number or a date: 600 at most, default if it is unreadable."""
+    text = (header or "").strip()
+    if text.isdigit():
+        return min(int(text), 600)
+    try:
+        when = parsedate_to_datetime(text)
+    except (TypeError, ValueError):
+        return default
+    when = when if when.tzinfo else when.replace(tzinfo=timezone.utc)
+    return max(1, min(600, int((when - (now or datetime.now(timezone.utc))).total_seconds())))
 
 
 @dataclass(frozen=True)
@@ -104,69 +146,130 @@ def fetch(url: str) -> str:
 
 
 def pages(scope: Scope, endpoint: str, get: Callable[[str], str] = fetch, fields: tuple[str, ...] = schema.INDEX_COLUMNS, attempts: int = 2, pause: float = 3.0) -> Iterator[list[list[str]]]:
-    """Records page by page. Transient errors are tried again; a repeated resume key ends the scan.
+    """Records page by page. Transient errors are tried again, 429 isn't; a repeated resume key ends the scan.
 
-    An error on the first page is raised; later ones end the scan with what was read.
+    An error that stays raises ScanError, on whatever page: the pages before it were given already.
     """
-    resume, seen, first = None, set(), True
+    resume, seen = None, set()
     while True:
         for attempt in range(1, attempts + 1):
             try:
                 rows, nxt, _ = parse_page(get(request_url(endpoint, scope, fields, resume)), len(fields))
                 break
-            except (urllib.error.URLError, TimeoutError, OSError) as e:
+            except (urllib.error.URLError, TimeoutError, OSError, ValueError) as e:
                 code = getattr(e, "code", None)
-                if attempt == attempts or (code is not None and code not in RETRYABLE):
-                    if first:
-                        raise
-                    return
+                if attempt == attempts or isinstance(e, ValueError) or (code is not None and code not in RETRYABLE):
+                    raise ScanError(error_code(e)) from e
                 time.sleep(pause * attempt)
         yield rows
-        first = False
         if not nxt or nxt in seen:
             return
         seen.add(nxt)
         resume = nxt
 
 
+def scan(scope: Scope, endpoint: str, get: Callable[[str], str] = fetch, **how) -> Iterator[list[list[str]]]:
+    """Records of a scope. A domain that times out before its first page is asked for as a host, then as its front page only."""
+    while True:
+        given = False
+        try:
+            for rows in pages(scope, endpoint, get, **how):
+                given = True
+                yield rows
+            return
+        except ScanError as e:
+            smaller = scope.narrower()
+            if given or smaller is None or scope.match not in ("domain", "host") or e.code not in ("TIMEOUT", "HTTP_504"):
+                raise
+            scope = smaller
+
+
+def status_history(target: str, match: str, endpoint: str, get: Callable[[str], str] = fetch) -> list[list[str]]:
+    """(original, timestamp, statuscode) of a target in all statuses and times: one request, not tried again."""
+    try:
+        rows, _, _ = parse_page(get(request_url(endpoint, Scope(target, match, status=None), STATUS_COLUMNS)), len(STATUS_COLUMNS))
+    except (urllib.error.URLError, TimeoutError, OSError, ValueError) as e:
+        raise ScanError(error_code(e)) from e
+    return rows
+
+
+def well_known_scopes(scope: Scope) -> list[Scope]:
+    """Exact scopes of the addresses where a host keeps its sitemaps."""
+    return [replace(scope, target=f"{scope.target.rstrip('/')}/{p}", match="exact") for p in WELL_KNOWN]
+
+
+def subdomain_scopes(base: str, names: list[str], scope: Scope, most: int = MOST_SUBDOMAINS) -> list[Scope]:
+    """Scopes of subdomains from certificates, then of usual names, each once, at most so many (0: all)."""
+    hosts = list(dict.fromkeys([*(n.lower() for n in names if n.lower().endswith(f".{base}")), *(f"{n}.{base}" for n in SUBDOMAIN_NAMES)]))
+    return [replace(scope, target=f"{h}/", match="prefix") for h in (hosts[:most] if most else hosts)]
+
+
 class Slice(InputPartition):
-    def __init__(self, scope: Scope):
-        self.scope = scope
+    def __init__(self, scope: Scope, place: int):
+        self.scope, self.place = scope, place
 
 
 class IndexReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.history, self.settled = options.get("kind") == "status", []
         s = options.get("start"), options.get("end")
         self.scope = Scope(options["domain"], options.get("match", "domain"), *s, status=None)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on statuscode and timestamp shape the request and are settled in read(), which spares the marks of
+        incomplete scans; Spark applies all others, to the marks as well."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("statuscode",):
+            if not self.history and isinstance(f, EqualTo) and f.attribute == ("statuscode",):
                 self.scope = replace(self.scope, status=f.value)
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("timestamp",):
+            elif not self.history and isinstance(f, GreaterThanOrEqual) and f.attribute == ("timestamp",):
                 self.scope = replace(self.scope, start=f.value)
-                yield f
-            elif isinstance(f, LessThanOrEqual) and f.attribute == ("timestamp",):
+            elif not self.history and isinstance(f, LessThanOrEqual) and f.attribute == ("timestamp",):
                 self.scope = replace(self.scope, end=f.value)
-                yield f
+            elif not self.history and isinstance(f, IsNotNull) and f.attribute in (("statuscode",), ("timestamp",)):
+                continue  # comes with a comparison; every record has both
             else:
                 yield f
+                continue
+            self.settled.append((("statuscode",) == f.attribute, type(f), f.value))
+
+    def passes(self, row: list[str]) -> bool:
+        for status, kind, value in self.settled:
+            have = row[4] if status else row[1]
+            if not (have == value if kind is EqualTo else have >= value if kind is GreaterThanOrEqual else have <= value):
+                return False
+        return True
 
     def partitions(self) -> list[Slice]:
         cuts = [c for c in self.options.get("slices", "").split(",") if c]
         edges = [self.scope.start, *cuts, self.scope.end]
         out = [replace(self.scope, start=a, end=b) for a, b in zip(edges, edges[1:])]
-        return [Slice(s) for scope in out for s in scope.plan()]
+        if self.history:
+            return [Slice(self.scope, 0)]
+        scopes = [s for scope in out for s in scope.plan()]
+        if self.options.get("well_known") == "true":
+            scopes += well_known_scopes(self.scope)
+        return [Slice(s, i) for i, s in enumerate(scopes)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         get = fetch
         if name := self.options.get("transport"):
             module, _, function = name.partition(":")
             get = getattr(importlib.import_module(module), function)
-        for rows in pages(partition.scope, self.options["endpoint"], get):
-            for r in rows:
-                yield tuple(r)
+        at, scope, blank = partition.place << 40, partition.scope, [None] * len(schema.INDEX_COLUMNS)
+        try:
+            if self.history:
+                batches = iter([[[o, t, None, None, c, None] for o, t, c in status_history(scope.target, scope.match, self.options["endpoint"], get)]])
+            else:
+                batches = scan(scope, self.options["endpoint"], get, pause=float(self.options.get("pause", "3")))
+            for rows in batches:
+                for r in filter(self.passes, rows):
+                    yield (*r, at, None)
+                    at += 1
+        except ScanError as e:
+            if self.options.get("partial") != "keep":
+                raise
+            yield (*blank, at, e.code)
 
 
 class IndexSource(DataSource):
@@ -175,15 +278,24 @@ class IndexSource(DataSource):
         return "capture_index"
 
     def schema(self) -> str:
-        return ", ".join(f"{c} string" for c in schema.INDEX_COLUMNS)
+        return ", ".join(f"{c} string" for c in schema.INDEX_COLUMNS) + ", row_ord bigint, scan_error string"
 
     def reader(self, schema) -> IndexReader:  # noqa: ARG002
         return IndexReader(dict(self.options))
 
 
 def unique_records(records: DataFrame) -> DataFrame:
-    """One record per (original, timestamp): slices and scopes may overlap."""
-    return records.groupBy("original", "timestamp").agg(*[F.min(c).alias(c) for c in records.columns if c not in ("original", "timestamp")]).select(*records.columns)
+    """The first record, by row_ord, of every (original, timestamp): slices and scopes may overlap.
+
+    Rows stay whole; marks of incomplete scans are left out.
+    """
+    whole = records.filter(F.col("scan_error").isNull()) if "scan_error" in records.columns else records
+    return first_per(whole, ["original", "timestamp"], ["row_ord"])
+
+
+def unseen_records(records: DataFrame, known: DataFrame) -> DataFrame:
+    """unique_records that known (original, timestamp) lacks: what probes of well-known addresses or subdomains add."""
+    return unique_records(records).join(known.select("original", "timestamp").distinct(), ["original", "timestamp"], "left_anti")
 
 
 def subdomains(spark: SparkSession, certificates: DataFrame, base: str) -> DataFrame:
