@@ -30,7 +30,7 @@ def test_rewrite_by_join(rows):
     pages = rows("group_id string, url string, path string, html string", ("g", "http://a/d/x.html", "a/d/x.html", '<a href="../y.html">y</a><a href="http://b/">b</a>'), ("g", "http://a/n", "a/n", None))
     known = rows("group_id string, key string, path string", ("g", "http://a/y.html", "a/y.html"))
     got = {r.url: (r.html, r.changed) for r in html.rewrite(pages, known).collect()}
-    assert got == {"http://a/d/x.html": ('<a href="../y.html">y</a><a href="http://b/">b</a>', 0), "http://a/n": ("", 0)}
+    assert got == {"http://a/d/x.html": ('<meta charset="utf-8"><a href="../y.html">y</a><a href="http://b/">b</a>', 0), "http://a/n": ("", 0)}
 
 
 def test_documents_round_trip():

@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import runtime
+
 #: The attribute of each element that holds its address.
 LINK_ATTRIBUTES = {"a": "href", "link": "href", "script": "src", "img": "src", "iframe": "src", "form": "action", "source": "src", "video": "src", "audio": "src", "embed": "src"}
 SRCSET_TAGS = ("img", "source")
+#: What is no address of a page, encodings tried in turn, elements whose text nobody sees.
 NO_LINK = ("#", "mailto:", "tel:", "javascript:", "data:")
 ENCODINGS = ("utf-8", "cp1251", "koi8-r", "cp866")
+HIDDEN_TAGS = ("script", "style")
 DECLARED = re.compile(rb"charset=[\"']?\s*([\w-]+)", re.IGNORECASE)
 CSS_ADDRESS = re.compile(r"""url\(\s*(?:"([^"]+)"|'([^']+)'|([^"')\s][^"')]*?))\s*\)|@import\s+(?:"([^"]+)"|'([^']+)')""", re.IGNORECASE)
 
@@ -72,6 +76,50 @@ def read_links(text: str | None) -> list[tuple[str, str, str]]:
     return reader.found
 
 
+class VisibleReader(HTMLParser):
+    """Collects the text a reader sees and the values of all href and src."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text: list[str] = []
+        self.addresses: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in HIDDEN_TAGS
+        self.addresses += [value for name, value in attrs if name in ("href", "src") and value]
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in HIDDEN_TAGS:
+            self.hidden = max(0, self.hidden - 1)
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.text.append(data)
+
+
+def read_visible(text: str | None) -> tuple[str, list[str]]:
+    """Visible text (pieces joined by spaces) and addresses of a page; a page the parser fails on loses its tags only."""
+    reader = VisibleReader()
+    try:
+        reader.feed(text or "")
+        reader.close()
+    except Exception:  # noqa: BLE001 - broken markup costs the page its addresses, not the job
+        return re.sub(r"<[^>]+>", " ", text or ""), []
+    return " ".join(reader.text), reader.addresses
+
+
+def visible(pages: DataFrame) -> DataFrame:
+    """pages (store_path, html) to (store_path, text, addresses ARRAY<STRING>), one row per page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            read = [read_visible(h) for h in pdf["html"]]
+            yield pd.DataFrame({"store_path": pdf["store_path"], "text": [r[0] for r in read], "addresses": [r[1] for r in read]})
+
+    return pages.select("store_path", "html").mapInPandas(run, "store_path string, text string, addresses array<string>")
+
+
 def resolved(base: str, value: str) -> str | None:
     """Absolute http(s) address of a link, None for what is none."""
     v = value.strip()
@@ -172,31 +220,71 @@ def rewrite_page(text: str, new_address: Callable[[str], str | None]) -> tuple[s
     return STYLE.sub(style, TAG.sub(tag, text)), changed
 
 
-def rewrite(pages: DataFrame, addresses: DataFrame) -> DataFrame:
-    """pages (group_id, url, path, html) rewritten to relative paths of their group's files.
+def css_links(files: DataFrame) -> DataFrame:
+    """files (url, css) to (url, value, target): the addresses in style sheets that resolve to http(s)."""
 
-    addresses: (group_id, key, path), one row per registered key. Links are read, resolved, joined to their
-    files and packed per page as a map, so no task holds a group's registry. Returns (group_id, url, html, changed).
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for u, css in zip(pdf["url"], pdf["css"]):
+                for m in CSS_ADDRESS.finditer(css or ""):
+                    v = next(g for g in m.groups() if g).strip()
+                    if t := resolved(u, v):
+                        rows.append((u, v, t))
+            yield pd.DataFrame(rows, columns=["url", "value", "target"])
+
+    return files.select("url", "css").mapInPandas(run, "url string, value string, target string")
+
+
+def style_links(pages: DataFrame) -> DataFrame:
+    """pages (url, html) to (url, value, target): the addresses in their inline styles."""
+    inline = pages.select("url", F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<style[^>]*>(.*?)</style>")), " ").alias("css"))
+    return css_links(inline.filter("css <> ''"))
+
+
+def _rewritten(files: DataFrame, found: DataFrame, addresses: DataFrame, change: Callable) -> DataFrame:
+    """files (group_id, url, path, text) with the addresses found (url, value, target) made relative by change(text, new)."""
     from tidemark.functions import urls
 
-    found = links(pages.select("url", "html")).select("url", "value", "target").distinct()
-    keyed = pages.select("group_id", "url").join(found, "url").withColumn("key", urls.link_key("target"))
-    hits = keyed.join(addresses.withColumnRenamed("path", "to"), ["group_id", "key"])
-    packed = hits.groupBy("group_id", "url").agg(F.map_from_entries(F.collect_set(F.struct("value", "to"))).alias("to"))
+    # distinct targets meet the registry, so that an address every page holds is one row a group and not one a page
+    keyed = files.select("group_id", "url").distinct().join(found.distinct(), "url").withColumn("key", urls.link_key("target"))
+    keys = keyed.select("group_id", "key").distinct().join(addresses.withColumnRenamed("path", "to"), ["group_id", "key"])
+    hits = runtime.join_small(keyed, keys, ["group_id", "key"], salt=16)
+    packed = hits.groupBy("group_id", "url").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("value", "to")))).alias("to"))
 
-    @F.pandas_udf("struct<html:string,changed:int>")
-    def run(html: pd.Series, path: pd.Series, to: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<text:string,changed:int>")
+    def run(text: pd.Series, path: pd.Series, to: pd.Series) -> pd.DataFrame:
         out = []
-        for h, p, m in zip(html, path, to):
+        for h, p, m in zip(text, path, to):
             table = dict(m) if m is not None else {}
             folder = posixpath.dirname(p or "")
 
             def new(v: str, table: dict = table, folder: str = folder) -> str | None:
                 return posixpath.relpath(table[v.strip()], folder or ".") if v.strip() in table else None
 
-            out.append(rewrite_page(h or "", new))
-        return pd.DataFrame(out, columns=["html", "changed"])
+            out.append(change(h or "", new))
+        return pd.DataFrame(out, columns=["text", "changed"])
+
+    joined = files.join(packed, ["group_id", "url"], "left").withColumn("to", F.col("to").cast("map<string,string>"))
+    return joined.withColumn("r", run("text", "path", "to"))
 
-    joined = pages.join(packed, ["group_id", "url"], "left").withColumn("to", F.col("to").cast("map<string,string>"))
-    return joined.withColumn("r", run("html", "path", "to")).select("group_id", "url", "r.html", "r.changed")
+
+def rewrite(pages: DataFrame, addresses: DataFrame) -> DataFrame:
+    """pages (group_id, url, path, html) rewritten to relative paths of their group's files.
+
+    addresses: (group_id, key, path), one row per registered key. Links are read, resolved, joined to their
+    files and packed per page as a map, so no task holds a group's registry. Inline styles are rewritten and the
+    charset is declared as UTF-8, as what is written. Returns (group_id, url, html, changed).
+    """
+    once = pages.select("url", "html").dropDuplicates(["url", "html"])
+    found = links(once).select("url", "value", "target").unionByName(style_links(once))
+    files = pages.select("group_id", "url", "path", F.col("html").alias("text"))
+    out = _rewritten(files, found, addresses, lambda text, new: ((r := rewrite_page(text, new))[0] and with_utf8_meta(r[0]), r[1]))
+    return out.select("group_id", "url", F.col("r.text").alias("html"), "r.changed")
+
+
+def rewrite_styles(files: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Style sheets (group_id, url, path, css) rewritten as pages are: (group_id, url, css, changed)."""
+    found = css_links(files.select("url", "css").dropDuplicates(["url", "css"]))
+    out = _rewritten(files.select("group_id", "url", "path", F.col("css").alias("text")), found, addresses, rewrite_css)
+    return out.select("group_id", "url", F.col("r.text").alias("css"), "r.changed")

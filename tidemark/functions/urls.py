@@ -71,6 +71,13 @@ def domain(url: Column | str) -> Column:
     return F.when((host != "") & port_is_valid(url), shown).otherwise(F.lower(raw_authority(url)))
 
 
+def scope_host_key(url: Column | str) -> Column:
+    """Host and port by which an archive is told from others: without trailing dots, and without 80 and 443 whatever the scheme."""
+    host, p = F.regexp_replace(hostname(url), r"\.+$", ""), port(url).try_cast("int")
+    shown = F.when(p.isNull() | p.isin(80, 443), host).otherwise(F.concat(host, F.lit(":"), p.cast("string")))
+    return F.when(port_is_valid(url), shown).otherwise(F.lower(raw_authority(url)))
+
+
 def site(url: Column | str) -> Column:
     """Host in lower case, without user, port, leading 'www.' and trailing dot; NULL where there is no host."""
     host = F.regexp_replace(F.lower(authority(F.trim(col(url)))), r":\d*$", "")

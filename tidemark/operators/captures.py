@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.functions import times, urls, values
+from tidemark.runtime import join_small, new_dir, written
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -172,8 +173,10 @@ def destinations(captures: DataFrame) -> DataFrame:
     # step by step: as one expression the plan outgrows what code generation compiles
     named = docs.withColumn("__base", urls.clean_basename("original_url")).withColumn("name", urls.dated_name(F.col("__base"), F.col("timestamp"), F.col("doc_ext"))).drop("__base")
     named = named.withColumn("digest", values.store_digest("original_url", "timestamp", "digest"))
-    owner = named.groupBy(F.lower("name").alias("__key")).agg(F.min_by("digest", "row_ord").alias("owner"))
-    joined = named.join(owner, F.lower(named["name"]) == owner["__key"]).drop("__key")
+    named = written(named.withColumn("__key", F.lower("name")), new_dir(captures.sparkSession, "named"))  # names are long expressions, used twice
+    owner = named.groupBy("__key").agg(F.min_by("digest", "row_ord").alias("owner"), F.count_distinct("digest").alias("__n")).filter("__n > 1").drop("__n")
+    # only contested names need their owner; a name everybody has is salted
+    joined = join_small(named, owner, ["__key"], "left", salt=16).withColumn("owner", F.coalesce("owner", "digest"))
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
     dest = F.when(F.col("digest") == F.col("owner"), F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.substring("digest", 1, 6), ext))
     return joined.select("row_ord", "doc_ext", "digest", dest.alias("destination"))
@@ -183,20 +186,38 @@ def _profile(kind: Column, address: Column) -> Column:
     return F.struct(kind, F.regexp_replace(address, "/+$", "").alias("value"), F.lit(0).alias("sure"))
 
 
+def _first_match(pattern: str, text: Column) -> Column:
+    return F.regexp_extract(text, pattern, 1)
+
+
+def seen_at(url: Column | str, timestamp: Column | str) -> Column:
+    """A page as a contact's source: its address and the minute of its capture."""
+    return F.concat(urls.col(url), F.lit(" @ "), times.pretty(timestamp))
+
+
 def contacts(texts: DataFrame, appearances: DataFrame) -> DataFrame:
     """E-mail addresses, phones and profiles with their pages.
 
-    texts: (store_path, text), scanned once a file; appearances: (store_path, source), fanned out after.
+    texts: (store_path, text[, addresses]), scanned once a file; addresses are the href and src of a page, in which
+    mailto: and tel: count, and profiles. appearances: (store_path, source), fanned out after.
     Returns (type, value, confidence, pages, example).
     """
     hits = []
     text = F.coalesce("text", F.lit(""))
-    mails = F.transform(F.regexp_extract_all(text, F.lit(f"({values.EMAIL})")), lambda m: F.struct(F.lit("email").alias("type"), F.lower(m).alias("value"), F.lit(0).alias("sure")))
-    hits.append(mails)
-    hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"({values.PHONE})")), lambda m: F.struct(F.lit("phone").alias("type"), values.clean_phone(m).alias("value"), (values.phone_confidence(m) == "high").cast("int").alias("sure"))))
+    links = F.coalesce("addresses", F.array().cast("array<string>")) if "addresses" in texts.columns else F.array().cast("array<string>")
+    mail = lambda m: F.struct(F.lit("email").alias("type"), F.lower(m).alias("value"), F.lit(0).alias("sure"))
+    phone = lambda m, sure: F.struct(F.lit("phone").alias("type"), values.clean_phone(m).alias("value"), sure.cast("int").alias("sure"))
+    hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"({values.EMAIL})")), mail))
+    hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"({values.PHONE})")), lambda m: phone(m, values.phone_confidence(m) == "high")))
+    with_start = lambda start: F.filter(links, lambda x: F.lower(F.trim(x)).startswith(start))
+    rest = lambda x: F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)
+    hits.append(F.transform(with_start("mailto:"), lambda x: mail(F.nullif(F.trim(F.regexp_extract(rest(x), r"^([^?]*)", 1)), F.lit("")))))
+    hits.append(F.transform(with_start("tel:"), lambda x: phone(rest(x), F.lit(True))))
     for network, pattern in values.NETWORKS.items():
         kind = F.lit(network).alias("type")
         hits.append(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})")), partial(_profile, kind)))
+        first = F.filter(F.transform(links, partial(_first_match, f"(?i)({pattern})")), lambda v: v != "")
+        hits.append(F.transform(first, partial(_profile, kind)))
     found = texts.select("store_path", F.explode(F.flatten(F.array(*hits))).alias("h")).select("store_path", "h.*").filter(F.col("value").isNotNull())
     found = found.filter((F.col("type") != "email") | ~values.is_junk_email(F.col("value")))
     per_file = found.groupBy("store_path", "type", "value").agg(F.max("sure").alias("sure"))
@@ -206,6 +227,29 @@ def contacts(texts: DataFrame, appearances: DataFrame) -> DataFrame:
     return out.select("type", "value", sure.alias("confidence"), "pages", "example")
 
 
+def by_network(found: DataFrame) -> DataFrame:
+    """Profiles of contacts() by network: (network, profiles, pages), pages summed over its profiles."""
+    return found.filter(F.col("type").isin(*values.NETWORKS)).groupBy(F.col("type").alias("network")).agg(F.count("*").alias("profiles"), F.sum("pages").alias("pages"))
+
+
+def fan_out(captures: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Captures with what the scan of their file found: scanned has one row per digest, every appearance gets it."""
+    return captures.join(scanned, "digest")
+
+
+def skip_reasons(captures: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(reason, appearances) of files without metadata; scanned: (digest, reason), reason NULL where some was found."""
+    one = scanned.filter(F.col("reason").isNotNull()).select("digest", "reason")
+    per_digest = captures.groupBy("digest").agg(F.count("*").alias("n"))
+    return per_digest.join(one, "digest").groupBy("reason").agg(F.sum("n").alias("appearances"))
+
+
+def distinct_people(docs: DataFrame) -> DataFrame:
+    """One row (people): different names in author, last editor and manager fields, of any length."""
+    names = docs.select(F.explode(F.array("author", "lastmodifiedby", "manager")).alias("name")).select(F.trim("name").alias("name"))
+    return names.filter(F.length("name") > 0).agg(F.count_distinct("name").alias("people"))
+
+
 def people(docs: DataFrame) -> DataFrame:
     """Names in author, last editor and manager fields (shorter than 100 characters) and companies, with counts."""
     fields = F.array(*[F.struct(F.lit(k).alias("kind"), F.trim(F.col(c)).alias("name")) for k, c in (("person", "author"), ("person", "lastmodifiedby"), ("person", "manager"), ("organisation", "company"))])
@@ -213,16 +257,94 @@ def people(docs: DataFrame) -> DataFrame:
     return named.filter((F.col("kind") != "person") | (F.length("name") < 100)).groupBy("kind", "name").agg(F.count("*").alias("mentions"))
 
 
+# -- which files are scanned for what ----
+
+
+def is_css(url: Column | str, mimetype: Column | str) -> Column:
+    return F.coalesce((urls.extension(url) == "css") | F.lower(urls.col(mimetype)).startswith("text/css"), F.lit(False))
+
+
+def is_contact_source(url: Column | str) -> Column:
+    """By the URL's extension alone, whatever the MIME type says."""
+    return F.coalesce(urls.extension(url).isin(*schema.HTML_EXTENSIONS, "txt", "xml", "json"), F.lit(False))
+
+
+def is_site_list(url: Column | str) -> Column:
+    """Sitemaps and robots files."""
+    return F.coalesce(urls.path(url).rlike(r"(?i)(sitemap[^/]*\.xml|robots\.txt)$"), F.lit(False))
+
+
+def scan_targets(captures: DataFrame) -> DataFrame:
+    """captures plus for_links, for_styles, for_contacts, for_lists, for_metadata and for_photos BOOLEAN."""
+    u, m = "original_url", "mimetype"
+    ext = urls.document_extension(u, m)
+    html = F.coalesce(urls.is_html(u, m), F.lit(False))
+    sets = {"for_links": html, "for_styles": is_css(u, m), "for_contacts": is_contact_source(u), "for_lists": is_site_list(u), "for_metadata": F.coalesce(ext.isin(*schema.METADATA_EXTENSIONS), F.lit(False)), "for_photos": F.coalesce(ext.isin(*schema.PHOTO_EXTENSIONS), F.lit(False))}
+    return captures.withColumns(sets)
+
+
+def estimate(fresh: DataFrame, size: str = "length") -> DataFrame:
+    """(files, bytes): what a download of these rows would take, as far as sizes are known."""
+    return fresh.agg(F.count("*").alias("files"), F.coalesce(F.sum(values.digits_or_zero(size)), F.lit(0)).cast("bigint").alias("bytes"))
+
+
+def placed(captures: DataFrame, stored: DataFrame) -> DataFrame:
+    """(documents, photos): appearances whose file is stored, by where their type puts them. stored: store_path."""
+    have = captures.join(stored.select("store_path").distinct(), "store_path", "left_semi")
+    kind = urls.document_extension("original_url", "mimetype")
+    return have.agg(F.count_if(kind.isin(*schema.DOCUMENT_EXTENSIONS)).alias("documents"), F.count_if(kind.isin(*schema.IMAGE_EXTENSIONS)).alias("photos"))
+
+
+def newest_versions(captures: DataFrame, k: int = 100) -> DataFrame:
+    """The k newest snapshot folders with their numbers of captures."""
+    return versions(captures).orderBy(F.desc("version")).limit(k)
+
+
+def newest_documents(captures: DataFrame, k: int = 200) -> DataFrame:
+    """The k newest captures of documents; equal times go by row order."""
+    kind = urls.document_extension("original_url", "mimetype")
+    docs = captures.withColumn("doc_ext", kind).filter(F.col("doc_ext").isin(*schema.DOCUMENT_EXTENSIONS))
+    return docs.select("row_ord", "original_url", "timestamp", "doc_ext").orderBy(F.desc("timestamp"), "row_ord").limit(k)
+
+
+def retry_rows(failures: DataFrame) -> DataFrame:
+    """Failures worth another try: those that aren't permanent."""
+    return failures.filter(~is_permanent(F.col("reason")))
+
+
+def integrity_summary(checked: DataFrame) -> DataFrame:
+    """(status, files, appearances) of binary.integrity()."""
+    return checked.groupBy("status").agg(F.count("*").alias("files"), F.sum("appearances").alias("appearances"))
+
+
 # -- link graph -------------------------------------------------------------------------------------------
 
 
+def page_groups(captures: DataFrame) -> DataFrame:
+    """Captures by group: each in its snapshot folder, and the newest of every path once more as 'latest'.
+
+    Adds group_id and path. The newest row of a path in a group stands for it.
+    """
+    by_folder = captures.withColumn("group_id", times.folder("timestamp"))
+    newest = latest_site(captures).withColumn("group_id", F.lit("latest")).withColumnRenamed("rel_path", "path")
+    return by_folder.withColumn("path", urls.relative_path("original_url")).unionByName(newest.select(*captures.columns, "group_id", "path"))
+
+
+def registry(pages: DataFrame) -> DataFrame:
+    """(group_id, key, path): for every key of a group the file of its first page by row_ord."""
+    keyed = pages.select("group_id", "path", "row_ord", F.explode(urls.registry_keys("original_url")).alias("key"))
+    return keyed.groupBy("group_id", "key").agg(F.min_by("path", "row_ord").alias("path"))
+
+
 def edges(links: DataFrame, registry: DataFrame) -> DataFrame:
     """links (group_id, source, target) with is_internal: whether the target is a page of the same group.
 
     registry: (group_id, url). Duplicate links stay; a target with a bad port is external.
     """
     keys = registry.select("group_id", F.explode(urls.registry_keys("url")).alias("__key")).distinct().withColumn("__hit", F.lit(True))
-    out = links.withColumn("__key", urls.link_key("target")).join(keys, ["group_id", "__key"], "left")
+    # a group's distinct targets meet the registry first: a site's root is one row then, however many pages name it
+    targets = links.select("group_id", "target").distinct().withColumn("__key", urls.link_key("target")).join(keys, ["group_id", "__key"], "left_semi").select("group_id", "target", F.lit(True).alias("__hit"))
+    out = join_small(links, targets, ["group_id", "target"], "left", salt=16)
     return out.select("group_id", "source", "target", F.coalesce("__hit", F.lit(False)).alias("is_internal"))
 
 
