@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark import runtime, schema
 from tidemark.content import binary
-from tidemark.functions import values
+from tidemark.functions import urls, values
 from tidemark.operators import captures as C
-from tidemark.operators import download
+from tidemark.operators import download, reports
 from tidemark.sources import archive_files
 
 
@@ -42,6 +42,30 @@ class Archive:
             "documents": C.destinations(rows),
         }
 
+    def write_reports(self) -> list[str]:
+        """Write the reports that need the capture table and stored bytes only, and the overview; returns their paths."""
+        rows, out = self.captures(), os.path.join(self.folder, "reports")
+        scanned = self.blobs().select("digest", "content")
+        docs = reports.is_document(rows)
+        kind = urls.document_extension("original_url", "mimetype")
+        one = C.dedup_by_digest(docs).select("digest", kind.alias("kind")).join(scanned, "digest")
+        meta = runtime.written(one.select("digest", binary.document_metadata(F.col("content"), F.col("kind")).alias("r")).select("digest", "r.meta", "r.reason"), runtime.new_dir(self.spark, "meta"))
+        flat = C.fan_out(docs.select("digest"), meta).select(*[F.try_element_at("meta", F.lit(n)).alias(n.lower()) for n in ("Author", "LastModifiedBy", "Manager", "Company")])
+        made = {
+            "timeline.txt": reports.timeline(rows),
+            "single_captures.txt": reports.single_captures(rows),
+            "documents.txt": reports.documents(docs, meta, C.people(flat)),
+            "documents.csv": reports.documents_table(docs, meta),
+            "integrity.txt": reports.integrity(self.verify()),
+        }
+        paths = []
+        for name, lines in made.items():
+            paths.append(os.path.join(out, name))
+            reports.write(paths[-1], lines)
+        overview = os.path.join(self.folder, "index.html")
+        reports.write(overview, reports.dashboard(rows, archive_files.archive_domain(rows) or "", self.folder, paths))
+        return [*paths, overview]
+
     def verify(self) -> DataFrame:
         """One row per digest with its status."""
         files = self.blobs().select("digest", "content")

@@ -51,15 +51,20 @@ def _documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return read.select("meta_id", *[F.try_element_at("r.meta", F.lit(k)).alias(k.lower()) for k in ("Author", "Title", "Company")], "r.reason")
 
 
-_NAMED = "CASE WHEN length(trim({c})) BETWEEN 1 AND 500 THEN trim({c}) END AS {c}"
+def _fields_sql(escaped: bool) -> str:
+    value = "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')" if escaped else "{c}"
+    value = f"trim(regexp_replace({value}, '^\\s+|\\s+$', '', 'g'))"
+    cut = "200" if escaped else "500"
+    named = {c: f"CASE WHEN length({value.format(c=c)}) BETWEEN 1 AND 500 THEN substr({value.format(c=c)}, 1, {cut}) END" for c in ("author", "title", "company")}
+    return f"SELECT meta_id, author, title, company, CASE WHEN coalesce(author, title, company) IS NULL THEN 'metadata not found' END AS reason FROM (SELECT meta_id, {', '.join(f'{v} AS {c}' for c, v in named.items())} FROM docmeta)"
 
 
-@query()
+@query(_fields_sql(False))
 def pdf_metadata(spark, d):
     return _documents(spark, d, "pdf")
 
 
-@query()
+@query(_fields_sql(True))
 def office_metadata(spark, d):
     return _documents(spark, d, "docx")
 
