@@ -25,8 +25,10 @@ length class of the body, so that only bodies of a possible length meet.
 All batches at hand go through one set of jobs, each seeing its own and earlier generations only: job by job
 and batch by batch the driver held too many plans.
 
-Known limit: bodies of 18 to 20 and of 27 words have no more windows than a near copy may have edits; such a
-copy is missed if its edits break all of them.
+Why windows side by side and not winnowing (the least hash of every few): winnowing promises a common fingerprint
+only for unbroken runs, and TESTDATA allows an edit in every ten words. The figures are in the README.
+
+Generations are merged by compact(), so that a probe meets one filter a partition and not one for every batch.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ MOST_EDITS = 9  # a near copy may be longer: a tenth of its words is a ninth of
 PLACEHOLDER = 8  # digests under this length equal nothing
 BITS_PER_KEY, HASHES = 12, 4
 LEAST_PARTS = 12
-SETTINGS = "partitions int, common array<bigint>"
+SETTINGS = "version int, base string, partitions int, common array<bigint>"
 
 SEEN = "struct<batch:int,id:bigint>"
 LAST = 2**31 - 2
@@ -69,7 +71,8 @@ def keyed(fp: np.ndarray, cls: np.ndarray | int) -> np.ndarray:
 
 
 def window_width(n: int) -> int:
-    return max(1, min(WINDOW, n // 2))
+    """Words in a window of a body of n words: few enough that there are more windows than a near copy may have edits."""
+    return max(1, min(WINDOW, n // ((n + n // MOST_EDITS) // EDIT_SHARE + 1)))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -212,18 +215,24 @@ class HistoryStore:
         """texts: (text_id, text) from which candidates' bodies are fetched again for the last check."""
         self.spark, self.path, self.texts = spark, path, texts
         self.partitions, self.common, self.last = LEAST_PARTS, np.empty(0, np.int64), 0
+        self.version, self.base = 0, "base0"
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/settings/_SUCCESS")
         self.loaded = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
         if self.loaded:
-            kept = spark.read.schema(SETTINGS).parquet(f"{path}/settings").first()
-            self.partitions, self.common = kept.partitions, np.array(kept.common, np.int64)
+            kept = spark.read.schema(SETTINGS).parquet(f"{path}/settings").orderBy(F.desc("version")).first()
+            self.version, self.base, self.partitions, self.common = kept.version, kept.base, kept.partitions, np.array(kept.common, np.int64)
             self.last = self.blooms().agg(F.max("gen")).first()[0] or 0
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, gen int").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(f"{schema}, gen int").parquet(f"{self.path}/{self.base}/{name}")
 
     def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").partitionBy("gen").parquet(f"{self.path}/{name}")
+        df.write.mode("append").partitionBy("gen").parquet(f"{self.path}/{self.base}/{name}")
+
+    def _settle(self) -> None:
+        """Add a row of settings; the one with the latest version holds."""
+        row = (self.version, self.base, self.partitions, self.common.tolist())
+        self.spark.createDataFrame([row], SETTINGS).coalesce(1).write.mode("append").parquet(f"{self.path}/settings")
 
     def keys(self) -> DataFrame:
         return self._read("keys", f"fp bigint, check bigint, seen {SEEN}")
@@ -251,9 +260,27 @@ class HistoryStore:
         self.partitions = max(LEAST_PARTS, n * 45 // 1_000_000)
         self.append([0], keys.unionByName(body_keys(one)).withColumn("gen", F.lit(0)), self.narrowed(one).withColumn("gen", F.lit(0)))
         # last of all, so that a load that broke off doesn't count
-        self.spark.createDataFrame([(self.partitions, self.common.tolist())], SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/settings")
+        self._settle()
         self.loaded = True
 
+    def compact(self) -> None:
+        """Merge all generations into one under a new base, with one Bloom filter a partition; between batches only.
+
+        What was seen when is kept in the rows. The old base stays for readers at work; a merge that broke off leaves
+        settings as they were.
+        """
+        keys, prints = self.keys().drop("gen"), self.prints().drop("gen")
+        # as many parts as the filters' size asks for now
+        rows = prints.count() + keys.count()
+        self.partitions = max(LEAST_PARTS, rows // 1_000_000)
+        self.version += 1
+        self.base = f"base{self.version}"
+        gen = F.lit(self.last)
+        self._write(keys.groupBy("fp", "check").agg(F.min("seen").alias("seen")).withColumn("gen", gen), "keys")
+        self._write(prints.withColumn("gen", gen), "prints")
+        self._filter([self.last])
+        self._settle()
+
     def narrowed(self, bodies: DataFrame) -> DataFrame:
         common = self.common
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.schema) + ", kept int"
@@ -267,6 +294,10 @@ class HistoryStore:
         """
         self._write(keys.groupBy("gen", "fp", "check").agg(F.min("seen").alias("seen")), "keys")
         self._write(bodies.select(F.explode("fps").alias("fp"), length_class_of("words").alias("cls"), "words", "kept", "text_id", "seen", "gen"), "prints")
+        self._filter(gens)
+
+    def _filter(self, gens: list[int]) -> None:
+        """Write the Bloom filters of these generations."""
         fps = self.prints().select("fp", "cls", "gen").unionByName(self.keys().select("fp", F.lit(EXACT).alias("cls"), "gen"))
         fps = fps.filter(F.col("gen").isin(gens)).select("gen", self.part().alias("part"), "fp", "cls")
         self._write(fps.groupBy("gen", "part").applyInPandas(bloom_rows, "gen int, part int, field binary"), "bloom")
