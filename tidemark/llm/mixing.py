@@ -84,7 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     spark = docs.sparkSession
     root = runtime.new_dir(spark, "mix")
     wanted = targets.filter((F.col("target_share") > 0) & (F.col("max_repeat") > 0)).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeat").alias("repeats"))
-    sized = docs.select("id", "source", "tokens").filter(F.col("tokens") > 0).join(F.broadcast(wanted), "source")  # one row per target source
+    sized = docs.select("id", "source", "tokens").filter(F.col("tokens") > 0).transform(lambda rows: runtime.join_small(rows, wanted, ["source"], salt=16))
     sized = runtime.written(sized, f"{root}/sized")
     per = [r.asDict() for r in sized.groupBy("source", "share", "repeats").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum")).collect()]  # one row per target source
     for f in per:

@@ -28,6 +28,7 @@ SINGLE = (
     ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5"), ("mac_roman", "cp1251"),
     ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1250", "cp1252"),
 )
+#: Times a value is repaired at most, once for each wrong decoding; what is garbled more often is restored in part.
 ROUNDS = 3
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſƒ]")
 CYRILLIC = re.compile(r"[Ѐ-ԯ]")
