@@ -10,7 +10,7 @@ class Session:
 
     def __init__(self):
         self.conf, self.sparkContext = {}, self
-        self.checkpoints = []
+        self.checkpoints, self.master = [], "local[2]"
 
     def setCheckpointDir(self, path):
         self.checkpoints.append(path)
@@ -22,6 +22,10 @@ def test_shared_dir_without_setting():
     assert os.path.isdir(path) and runtime.shared_dir(s) == path and s.checkpoints == [path]
     s.conf = {"spark.checkpoint.dir": "file:///shared"}
     assert runtime.shared_dir(s) == "file:///shared"
+    cluster = Session()
+    cluster.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="share"):
+        runtime.shared_dir(cluster)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])

@@ -238,11 +238,28 @@ def test_manifest(spark, rows, tmp_path):
 def test_stream(spark, rows, tmp_path):
     S = updates.RAW
     source, root = str(tmp_path / "in"), str(tmp_path / "t")
-    rows(S, (1, 1, 1, "index", LINE.format(1, 1)), (2, 1, 2, "index", "bad")).coalesce(1).write.mode("append").parquet(source)
-    table = updates.VersionedTable(spark, root)
-    for _ in range(2):
-        updates.stream_update(spark, source, table, str(tmp_path / "c")).awaitTermination()
-        rows(S, (3, 2, 1, "index", LINE.format(1, 9)), (4, 2, 2, "index", LINE.format(2, 2))).coalesce(1).write.mode("append").parquet(source)
+    rows(S, (1, 1, 1, "index", LINE.format(1, 1)), (2, 1, 2, "index", "bad"), (5, 1, 3, "index", LINE.format(7, 7))).coalesce(1).write.mode("append").parquet(source)
+    table = updates.BucketTable(spark, root, ("original", "timestamp"), 4)
+    assert table.read() is None
+    failed = rows("original_url string, timestamp string, digest string, reason string", ("http://a.test/7", "20200101000000", "d7", "HTTP Error 404: gone"))
+    for i in range(4):
+        updates.stream_update(spark, source, table, str(tmp_path / "c"), failures=failed).awaitTermination()
+        rows(S, (3 + i, 2, 1, "index", LINE.format(1, 9)), (4 + i, 2, 2, "index", LINE.format(2, 2))).coalesce(1).write.mode("append").parquet(source)
     assert {(r.original, r.digest) for r in table.read().collect()} == {("http://a.test/1", "D9"), ("http://a.test/2", "D2")}
+    held = updates.BucketTable(spark, root, ("original", "timestamp"), 99)
+    assert held.read().count() == 2 and held.buckets == 4 and len(held._lists()) == 2
     ev = rows("ts timestamp, event_type string").select(F.col("ts"), F.col("event_type"))
     assert updates.windowed_status(ev).count() == 0
+
+
+def test_a_write_touches_only_its_buckets(spark, rows, tmp_path):
+    R = "row_ord bigint, k string, v string"
+    table = updates.BucketTable(spark, str(tmp_path / "t"), ("k",), 8)
+    table.upsert(rows(R, *[(i, f"k{i}", "old") for i in range(40)]))
+    before = table.placed()
+    table.upsert(rows(R, (100, "k3", "new")))
+    assert sum(before[b] != n for b, n in table.placed().items()) == 1
+    got = {r.k: r.v for r in table.read().collect()}
+    assert len(got) == 40 and got["k3"] == "new" and got["k4"] == "old"
+    table.upsert(rows(R))
+    assert table.version() == 2

@@ -21,6 +21,7 @@ from tidemark import schema
 from tidemark.functions import urls, values
 
 MAX_BYTES = 2 * 1024**3
+#: Limits of what is inflated, and the fields and types the formats have.
 MAX_STREAM_IN, MAX_STREAM_OUT = 400_000, 2_000_000
 PDF_FIELDS = ("Author", "Creator", "Producer", "Title", "Subject", "Company", "CreationDate", "ModDate")
 #: Element of the package's property parts to field.

@@ -117,6 +117,12 @@ def marked_reason(reason: Column) -> Column:
     return F.when(is_permanent(reason) & ~marked, F.concat(F.lit(schema.PERMANENT_MARKER + " "), short)).otherwise(short)
 
 
+def without_permanent(rows: DataFrame, failures: DataFrame, url: str = "original_url") -> DataFrame:
+    """rows without those whose URL, time and digest the queue holds as failed for good. url: their column of addresses."""
+    gone = failure_key(failures.filter(is_permanent(F.col("reason"))), "original_url").select(F.col("original_url").alias(url), "timestamp", "__digest").distinct()
+    return failure_key(rows, url).join(gone, [url, "timestamp", "__digest"], "left_anti").drop("__digest")
+
+
 def failure_key(rows: DataFrame, url: str) -> DataFrame:
     """rows plus the key of the failure queue: URL, time and the digest in lower case."""
     return rows.withColumn("__digest", F.lower(F.trim(F.coalesce("digest", F.lit("")))))
@@ -138,15 +144,12 @@ def to_fetch(index: DataFrame, captures: DataFrame, good_paths: DataFrame, failu
     sound blobs. A row is fetched if its (URL, time) is unseen or its blob is missing or damaged; rows that
     failed for good are left out first.
     """
-    rows = failure_key(index, "original_url")
-    if failures is not None:
-        gone = failure_key(failures.filter(is_permanent(F.col("reason"))), "original_url").select("original_url", "timestamp", "__digest").distinct()
-        rows = rows.join(gone, ["original_url", "timestamp", "__digest"], "left_anti")
+    rows = index if failures is None else without_permanent(index, failures)
     state = captures.join(good_paths.select("store_path").distinct().withColumn("__good", F.lit(True)), "store_path", "left")
     seen = state.groupBy("original_url", "timestamp").agg(F.coalesce(F.max("__good"), F.lit(False)).alias("__good"))
     sha = captures.groupBy("digest").agg(F.min_by("sha256", "row_ord").alias("expected_sha256"))
     out = rows.join(seen, ["original_url", "timestamp"], "left").filter(F.col("__good").isNull() | ~F.col("__good"))
-    out = out.withColumn("repair", F.col("__good").isNotNull()).drop("__good", "__digest")
+    out = out.withColumn("repair", F.col("__good").isNotNull()).drop("__good")
     return out.join(sha, "digest", "left")
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import runtime
+
 START, BARE, QUOTED, CLOSED = range(4)
 MAX_INT64 = 2**63 - 1
 
@@ -157,17 +159,18 @@ def parse(raw: str | None, form: Form) -> tuple[list[str] | None, str | None, st
 def records(lines: DataFrame) -> DataFrame:
     """Lines without the empty line and resume key that may end an index page.
 
-    Two small aggregates by page: the last line, and the line before it. A page is a row per map task in the
+    Two small aggregates by page tell the last line and the line before it: a page is a row per map task in the
     shuffle, however long it is.
     """
     index = lines.filter(F.col("kind") == "index")
     last = index.groupBy("page_no").agg(F.max("line_no").alias("last"))
     before = index.join(last, "page_no").filter(F.col("line_no") < F.col("last")).groupBy("page_no", "last")
     ends = before.agg(F.max(F.struct("line_no", (F.coalesce("raw", F.lit("")) == "").alias("empty"))).alias("b"))
-    ends = ends.filter("b.empty").select("page_no", "last", F.col("b.line_no").alias("gap"))
-    marked = lines.join(ends, "page_no", "left")
-    closing = (F.col("kind") == "index") & F.col("line_no").isin(F.col("last"), F.col("gap"))
-    return marked.filter(~F.coalesce(closing, F.lit(False))).select(*[lines[c] for c in lines.columns])
+    closing = ends.filter("b.empty").select("page_no", F.explode(F.array("last", "b.line_no")).alias("line_no"))
+    # a page's two closing lines are found by their own key, so that a long page is never one task's; other kinds pass by
+    closing = runtime.written(closing.distinct(), runtime.new_dir(lines.sparkSession, "closing"))
+    kept = runtime.join_small(index, closing, ["page_no", "line_no"], "left_anti").select(*lines.columns)
+    return kept.unionByName(lines.filter((F.col("kind") != "index") | F.col("kind").isNull()))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -139,8 +139,7 @@ def fresh_captures(spark, d):
 @query(f"""SELECT arrival_id FROM incoming i WHERE NOT EXISTS (WITH {FAILED_SQL} SELECT 1 FROM queue q WHERE {Q.is_permanent('q.f7')} AND q.f1 = i.original_url AND q.f2 = i.timestamp AND lower(trim(q.f3)) = lower(trim(i.digest)))""")
 def skip_permanent(spark, d):
     """Incoming rows that didn't fail for good before."""
-    gone = C.failure_key(failures(spark, d).filter(C.is_permanent(F.col("reason"))), "original_url").select("original_url", "timestamp", "__digest").distinct()
-    return C.failure_key(table(spark, d, "incoming"), "original_url").join(gone, ["original_url", "timestamp", "__digest"], "left_anti").select("arrival_id")
+    return C.without_permanent(table(spark, d, "incoming"), failures(spark, d)).select("arrival_id")
 
 
 @query(f"""SELECT row_ord, doc_ext FROM (SELECT row_ord, {Q.document_extension("original_url", "mimetype")} AS doc_ext FROM captures) WHERE doc_ext IN ('pdf', 'docx', 'xlsx', 'jpg') AND doc_ext NOT IN ('xlsx')""")

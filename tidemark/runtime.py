@@ -24,12 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset, a new temporary one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset in a local session, a new temporary one.
+
+    Raises where it is unset on a cluster: what one machine writes to its own disk others can't read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     sc = spark.sparkContext  # the setting can't be changed in a running session
     if not getattr(sc, "_tidemark_shared", None):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc._tidemark_shared = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, sc._tidemark_shared, True)
         sc.setCheckpointDir(sc._tidemark_shared)
@@ -37,8 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared folder, in this application's part of it, which goes when the driver ends."""
+    return os.path.join(session_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    sc = spark.sparkContext
+    root = os.path.join(shared_dir(spark), f"tidemark-{sc.applicationId}")
+    if getattr(sc, "_tidemark_session", None) != root:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        sc._tidemark_session = root
+    return root
 
 
 def ship(spark: SparkSession) -> None:
