@@ -147,8 +147,9 @@ def parse(raw: str | None, form: Form) -> tuple[list[str] | None, str | None, st
     toks = tokens(raw or "", form)
     fields = sound_fields(toks)
     if fields is None or len(fields) != len(form.columns):
-        (quoting, _), ops = cheapest_repair(toks, len(form.columns))
-        return None, "quoting" if quoting else "columns", "; ".join(ops)
+        # sound quoting makes it a wrong width, even where mending that takes quotes
+        _, ops = cheapest_repair(toks, len(form.columns))
+        return None, "quoting" if fields is None else "columns", "; ".join(ops)
     if not is_http_url(fields[0]):
         return None, "value", f"{form.columns[0]}: {fields[0]}"
     if not is_length(fields[5]):
