@@ -92,6 +92,6 @@ def test_all_small_records_parse():
 def test_sound_quoting_with_a_wrong_width():
     """Every delimiter stands beside a quote, so no repair goes without quotes, and still only the width is wrong."""
     raw = 'http://a.test/x,"20230201070829",DIGEST,"application/pdf",200,"x",3845,"empty reply"'
-    fields, reason, detail = error_parse.parse(raw, error_parse.FORMS["queue"])
+    fields, reason, detail = E.parse(raw, E.FORMS["queue"])
     assert (fields, reason) == (None, "columns") and detail
-    assert error_parse.parse(raw.replace('"x"', '"x'), error_parse.FORMS["queue"])[1] == "quoting"
+    assert E.parse(raw.replace('"x"', '"x'), E.FORMS["queue"])[1] == "quoting"
