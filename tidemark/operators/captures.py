@@ -345,8 +345,10 @@ def edges(links: DataFrame, registry: DataFrame) -> DataFrame:
     registry: (group_id, url). Duplicate links stay; a target with a bad port is external.
     """
     keys = registry.select("group_id", F.explode(urls.registry_keys("url")).alias("__key")).distinct().withColumn("__hit", F.lit(True))
+    links = written(links.select("group_id", "source", "target"), new_dir(links.sparkSession, "links"))  # pages are parsed once
     # a group's distinct targets meet the registry first: a site's root is one row then, however many pages name it
     targets = links.select("group_id", "target").distinct().withColumn("__key", urls.link_key("target")).join(keys, ["group_id", "__key"], "left_semi").select("group_id", "target", F.lit(True).alias("__hit"))
+    targets = written(targets, new_dir(links.sparkSession, "targets"))
     out = join_small(links, targets, ["group_id", "target"], "left", salt=16)
     return out.select("group_id", "source", "target", F.coalesce("__hit", F.lit(False)).alias("is_internal"))
 
