@@ -37,7 +37,7 @@ META = re.compile(
 )
 # Words that furniture holds more often than articles do; they lower the count a line must recur by.
 HINTS = (
-    "cookie", "куки", "newsletter", "рассылк", "reciba el boletín", "noticias de", "nouvelles de", "lettre de", "neues von", "rundbrief bestellen",
+    "cookie", "куки", "newsletter", "рассылк", "reciba el boletín", "noticias de", "nouvelles de", "lettre de", "neues von", " bestellen ", "каждую неделю",
     "small files", "kleine dateien", "petits fichiers", "ficheros pequeños", "малые файлы",
     "rights reserved", "rechte vorbehalten", "droits réservés", "derechos reservados", "права защищены", "copyright", "©", "powered by",
     "haftet", "haftung", "gewähr", "garantie", "guarantee", "liabil", "responsa", "answerable", "ответственн", "nachdruck", "written leave", "genehmigung", "reproduction", "l'accord", "prohibida", "перепечатка",
