@@ -147,6 +147,41 @@ def test_family_of_near_copies(spark, rows):
     assert verdicts(spark, caps, inc, blobs) == {**{i: "near" if n else None for i, n in enumerate(near)}, 99: None}
 
 
+def test_common_windows_by_a_fixed_number(spark):
+    """Pairs would grow with the square of the bodies if a window of a share of all bodies still counted as rare."""
+    shared = [F.xxhash64(F.lit("shared"), (F.col("id") / 60).cast("int"))]
+    fps = F.array(*[F.xxhash64("id", F.lit(i)) for i in range(12)], *shared)
+    some = F.struct(*[F.col("id").alias(f"s{i}") for i in range(8)]).alias("sketch")
+    bodies = spark.range(40_000).select(F.col("id").cast("string").alias("body"), F.lit(90).alias("words"), some, fps.alias("fps"), F.col("id").alias("text_id"), F.expr("struct(-1 AS batch, 0L AS id)").alias("seen"))
+    store = history.HistoryStore(spark, runtime.new_dir(spark, "t"), spark.createDataFrame([], "text_id bigint, text string"))
+    store.load(spark.createDataFrame([], "fp bigint, check bigint, seen struct<batch:int,id:bigint>"), bodies)
+    assert store.prints().groupBy("fp").count().agg(F.max("count")).first()[0] <= 50
+    assert store.prints().count() == 40_000 * 12 + 40  # the last group has 40 bodies only
+
+
+def test_thin_bodies_keep_their_rarest_common_windows():
+    rare, common = np.arange(100, 104), np.array([7, 5, 9, 3, 1, 8, 2])  # the most frequent first
+    fps = [np.sort(np.concatenate((rare, common))), np.arange(100, 112), common[:2]]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([60, 60, 60], pa.int32()), history._lists(fps)], ["words", "fps"])
+    out = next(history.narrow(iter([batch]), common)).to_pylist()
+    assert [(set(r["fps"]), set(r["hot"]), r["kept"]) for r in out] == [({*rare}, {8, 2, 1}, 7), ({*range(100, 112)}, set(), 12), (set(), {7, 5}, 2)]
+
+
+def test_an_edit_turns_two_parities_at_most():
+    r = random.Random(11)
+    for n in (1, 9, 40, 300):
+        for _ in range(30):
+            body = [r.getrandbits(64) for _ in range(n)]
+            copy = list(body)
+            for _ in range(r.randint(0, 6)):
+                at, how = r.randrange(len(copy) + 1), r.randrange(3)
+                copy[at : at + (how > 0)] = [r.getrandbits(64)] * (how < 2)
+            a, b = (history.sketch(np.array(x, np.uint64)).view(np.uint64) for x in (body, copy))
+            assert sum(int(x).bit_count() for x in a ^ b) <= 2 * brute_distance(body, copy)
+
+
 def test_store_used_again(spark, rows, monkeypatch):
     """A second call opens the store as it was written, parts included, and reads no captures."""
     path, old = runtime.new_dir(spark, "again"), [text(i, 80) for i in range(40)]

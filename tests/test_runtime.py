@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 
@@ -41,3 +42,24 @@ def test_written_tables(spark, rows):
     path = runtime.new_dir(spark, "t")
     assert runtime.written(rows("a bigint"), path).count() == 0
     assert runtime.fits(rows("a bigint", (1,), (2,)), 2) and not runtime.fits(rows("a bigint", (1,), (2,)), 1)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A table on the way leaves nothing of its shuffle on disk, however much memory the driver has; the setting is as before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(runtime.CLEANUP, None)
+    out = runtime.written(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count(), runtime.new_dir(spark, "t"))
+    assert out.count() == 700
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    left = {f for f in files() - before if f.endswith(".data") and os.path.getsize(f) > 2000}
+    assert not left and spark.conf.get(runtime.CLEANUP, None) == setting
+    path = runtime.new_dir(spark, "t")
+    runtime.written(spark.range(3), path)
+    runtime.remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))

@@ -4,7 +4,8 @@ A `HistoryStore` is a folder with three growing tables, each in generations, one
 
 - keys    exact identifiers (SHA-256, digest, the body's words) by 128-bit hash: (fp, check, seen),
           seen = (batch, id) of the first row that carried the value
-- prints  content fingerprints: (fp, cls, words, kept, text_id, seen), cls = class of the body's length
+- prints  content fingerprints: (fp, cls, words, kept, text_id, seen, sketch), cls = class of the body's length,
+          sketch = parities of the body's words, with common windows only
 - bloom   Bloom filters over the fps of both, one row per hash partition and generation
 
 and one row of settings that hold for all generations: the number of hash partitions and the common windows.
@@ -16,11 +17,15 @@ then by word edit distance, and the batch is appended as one more generation.
 Content fingerprints. A body is a row of word ids. Its unit is the shingle of five words; a window holds
 three neighbouring shingles, that is seven words. The index side keeps one fingerprint per disjoint window;
 the query side asks for the windows at every position, so any unbroken run of 13 common words is found
-wherever it stands, and an edit destroys one kept window only. Windows that stand in a share of all
+wherever it stands, and an edit destroys one kept window only. Windows that stand in more than a fixed number of
 bodies (page furniture, unedited parts of a family of near copies) are left out where the others alone are
 more than the edits a near copy may have, so that one of those is shared for certain; a body with fewer
-others keeps all its windows. Every window is asked for, so common ones meet such bodies only. Keys carry the
-length class of the body, so that only bodies of a possible length meet.
+others keeps as many of its rarest windows as that takes. Every window is asked for, so common ones meet such
+bodies only. Keys carry the length class of the body, so that only bodies of a possible length meet.
+
+The number is fixed because a share of all bodies let the pairs grow with their square. What common windows still
+bring together is compared by sketches where it meets, before anything of it is shuffled: 512 parities of the
+numbers of words, of which an edit turns two at most.
 
 All batches at hand go through one set of jobs, each seeing its own and earlier generations only: job by job
 and batch by batch the driver held too many plans.
@@ -33,7 +38,7 @@ Generations are merged by compact(), so that a probe meets one filter a partitio
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,17 +51,21 @@ from tidemark import runtime
 from tidemark.llm import words as W
 
 WINDOW = 7
-#: A window is common if it stands in more than this share of the bodies (and in more than COMMON_MIN).
-#: At most WINDOWS_PER_BODY / COMMON_SHARE values can be common, however many bodies there are.
-COMMON_SHARE, COMMON_MIN = 0.002, 50
+#: A window is common if it stands in more than COMMON_MIN bodies. The driver holds the common ones: where they
+#: are more than MOST_COMMON, the bound is doubled until they aren't.
+COMMON_MIN, MOST_COMMON = 50, 500_000
+#: Partitions over which the questions for one common window are spread.
+SALT = 16
+SKETCH = 512  # parities of a sketch, 64 in each of its fields
 EDIT_SHARE = 10  # one word in ten may differ
 MOST_EDITS = 9  # a near copy may be longer: a tenth of its words is a ninth of its original's at most
 PLACEHOLDER = 8  # digests under this length equal nothing
 BITS_PER_KEY, HASHES = 12, 4
-LEAST_PARTS = 12
+LEAST_PARTS, KEYS_PER_PART = 12, 250_000  # a part's filter, keys and questions are in one task's memory
 SETTINGS = "version int, base string, partitions int, common array<bigint>"
 
 SEEN = "struct<batch:int,id:bigint>"
+PARITIES = f"struct<{','.join(f's{i}:bigint' for i in range(SKETCH // 64))}>"
 LAST = 2**31 - 2
 EXACT = -9  # stands for the length class of exact identifiers
 
@@ -80,11 +89,28 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
 
 
+def sketch(ids: np.ndarray) -> np.ndarray:
+    """SKETCH parities: whether the words of each residue are odd in number. An edit takes, adds or swaps a word."""
+    odd = np.bincount((ids % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _structs(sketches: list[np.ndarray]) -> pa.StructArray:
+    fields = np.array(sketches, np.int64).reshape(-1, SKETCH // 64)
+    return pa.StructArray.from_arrays([pa.array(f) for f in fields.T], names=[f"s{i}" for i in range(SKETCH // 64)])
+
+
+def turned(a: str, b: str) -> Column:
+    """The number of parities in which two sketches differ."""
+    fields = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH // 64)]
+    return sum(fields[1:], fields[0])
+
+
 def body_features(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
-    """(text_id, text, ...) to (body, words, fps[, asked], ...); no row for texts without words."""
+    """(text_id, text, ...) to (body, words, sketch, fps[, asked], ...); no row for texts without words."""
     for b in batches:
         rest = [n for n in b.schema.names if n != "text"]
-        keep, body, count, index, ask = [], [], [], [], []
+        keep, body, count, odd, index, ask = [], [], [], [], [], []
         for i, text in enumerate(b.column("text").to_pylist()):
             ids = W.word_ids(text)
             n = len(ids)
@@ -94,13 +120,14 @@ def body_features(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa
             keep.append(i)
             body.append(xxhash.xxh3_128_hexdigest(ids.tobytes()))
             count.append(n)
+            odd.append(sketch(ids))
             index.append(np.unique(W.shingles(ids, w)[::w]).view(np.int64))
             if query:
                 widths = {window_width(k) for k in range(n - n // 9 - 1, n + n // 9 + 2) if k > 0}
                 ask.append(np.unique(np.concatenate([W.shingles(ids, k) for k in widths])).view(np.int64))
         cols = [b.column(n).take(pa.array(keep, pa.int64())) for n in rest]
-        cols += [pa.array(body, pa.string()), pa.array(count, pa.int32()), _lists(index)]
-        names = [*rest, "body", "words", "fps"]
+        cols += [pa.array(body, pa.string()), pa.array(count, pa.int32()), _structs(odd), _lists(index)]
+        names = [*rest, "body", "words", "sketch", "fps"]
         if query:
             cols.append(_lists(ask))
             names.append("asked")
@@ -110,7 +137,7 @@ def body_features(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa
 def features(texts: DataFrame, query: bool = False) -> DataFrame:
     """Fingerprint the `text` column; all other columns are kept, rows without any word are dropped."""
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"]
-    out = ", ".join([*rest, "body string", "words int", "fps array<bigint>"] + ["asked array<bigint>"] * query)
+    out = ", ".join([*rest, "body string", "words int", f"sketch {PARITIES}", "fps array<bigint>"] + ["asked array<bigint>"] * query)
     return texts.mapInArrow(lambda it: body_features(it, query), out)
 
 
@@ -119,25 +146,33 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
 
 
-def _kept(lists: pa.Array, all_of: Callable[[np.ndarray], np.ndarray], common: np.ndarray) -> pa.Array:
-    """The lists without common values, save those that keep all: all_of tells which by their numbers of rare values."""
-    values, lengths = _flat(lists)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-    rare = common[at] != values if len(common) else np.ones(len(values), bool)
-    count = np.bincount(row, weights=rare, minlength=len(lengths)).astype(np.int64)
-    stay = rare | all_of(count)[row]
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[stay], minlength=len(lengths))))).astype(np.int32)
+def _picked(values: np.ndarray, row: np.ndarray, stay: np.ndarray, rows: int) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[stay], minlength=rows)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[stay]))
 
 
 def narrow(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """fps without common windows, save for bodies whose others a near copy may all have lost; adds kept = size of fps."""
+    """fps without common windows, and hot, the rarest common ones of bodies whose others a near copy may all have lost.
+
+    common: the most frequent first. Adds kept = size of both.
+    """
+    order = np.argsort(common)
+    known = common[order]
     for b in batches:
         cols = {n: b.column(n) for n in b.schema.names}
-        edits = cols["words"].to_numpy() // MOST_EDITS
-        fps = cols["fps"] = _kept(cols["fps"], lambda rare, edits=edits: rare <= edits, common)
-        cols["kept"] = pa.array(np.diff(fps.offsets.to_numpy()), pa.int32())
+        values, lengths = _flat(cols["fps"])
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.full(len(values), len(common))  # of rare ones behind all others
+        if len(common):
+            at = np.minimum(np.searchsorted(known, values), len(common) - 1)
+            place = np.where(known[at] == values, order[at], place)
+        rare = place == len(common)
+        first = np.lexsort((values, -place, row))
+        rank = np.empty(len(values), np.int64)
+        rank[first] = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        hot = ~rare & (rank <= (cols["words"].to_numpy() // MOST_EDITS)[row])
+        cols["fps"], cols["hot"] = _picked(values, row, rare, len(lengths)), _picked(values, row, hot, len(lengths))
+        cols["kept"] = pa.array(np.bincount(row[rare | hot], minlength=len(lengths)), pa.int32())
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
@@ -227,7 +262,8 @@ class HistoryStore:
         return self.spark.read.schema(f"{schema}, gen int").parquet(f"{self.path}/{self.base}/{name}")
 
     def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").partitionBy("gen").parquet(f"{self.path}/{self.base}/{name}")
+        with runtime.tidy(self.spark):
+            df.write.mode("append").partitionBy("gen").parquet(f"{self.path}/{self.base}/{name}")
 
     def _settle(self) -> None:
         """Add a row of settings; the one with the latest version holds."""
@@ -238,7 +274,7 @@ class HistoryStore:
         return self._read("keys", f"fp bigint, check bigint, seen {SEEN}")
 
     def prints(self) -> DataFrame:
-        return self._read("prints", f"fp bigint, cls int, words int, kept int, text_id bigint, seen {SEEN}")
+        return self._read("prints", f"fp bigint, cls int, words int, kept int, text_id bigint, seen {SEEN}, sketch {PARITIES}")
 
     def blooms(self) -> DataFrame:
         return self._read("bloom", "part int, field binary")
@@ -253,15 +289,19 @@ class HistoryStore:
         """
         one = runtime.written(distinct_bodies(bodies), f"{self.path}/stage")
         n = one.count()
-        bound = max(COMMON_MIN, int(n * COMMON_SHARE))
-        counts = one.select(F.explode("fps").alias("fp")).groupBy("fp").count()
-        # at most (windows in a body) / COMMON_SHARE values, whatever n is
-        self.common = np.sort(np.array([r.fp for r in counts.filter(F.col("count") > bound).select("fp").collect()], np.int64))
-        self.partitions = max(LEAST_PARTS, n * 45 // 1_000_000)
+        counts = one.select(F.explode("fps").alias("fp")).groupBy("fp").count().filter(F.col("count") > COMMON_MIN)
+        often, bound = runtime.written(counts, f"{self.path}/often"), COMMON_MIN
+        while often.filter(F.col("count") > bound).count() > MOST_COMMON:
+            bound *= 2
+        table = often.filter(F.col("count") > bound).toArrow()
+        fp = table["fp"].to_numpy()
+        self.common = fp[np.lexsort((fp, -table["count"].to_numpy()))]
+        self.partitions = max(LEAST_PARTS, n * 45 // KEYS_PER_PART)
         self.append([0], keys.unionByName(body_keys(one)).withColumn("gen", F.lit(0)), self.narrowed(one).withColumn("gen", F.lit(0)))
         # last of all, so that a load that broke off doesn't count
         self._settle()
         self.loaded = True
+        runtime.remove(self.spark, f"{self.path}/stage", f"{self.path}/often")
 
     def compact(self) -> None:
         """Merge all generations into one under a new base, with one Bloom filter a partition; between batches only.
@@ -272,7 +312,7 @@ class HistoryStore:
         keys, prints = self.keys().drop("gen"), self.prints().drop("gen")
         # as many parts as the filters' size asks for now
         rows = prints.count() + keys.count()
-        self.partitions = max(LEAST_PARTS, rows // 1_000_000)
+        self.partitions = max(LEAST_PARTS, rows // KEYS_PER_PART)
         self.version += 1
         self.base = f"base{self.version}"
         gen = F.lit(self.last)
@@ -283,7 +323,7 @@ class HistoryStore:
 
     def narrowed(self, bodies: DataFrame) -> DataFrame:
         common = self.common
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.schema) + ", kept int"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bodies.schema) + ", hot array<bigint>, kept int"
         return bodies.mapInArrow(lambda it: narrow(it, common), schema)
 
     def append(self, gens: list[int], keys: DataFrame, bodies: DataFrame) -> None:
@@ -293,7 +333,9 @@ class HistoryStore:
         generation.
         """
         self._write(keys.groupBy("gen", "fp", "check").agg(F.min("seen").alias("seen")), "keys")
-        self._write(bodies.select(F.explode("fps").alias("fp"), length_class_of("words").alias("cls"), "words", "kept", "text_id", "seen", "gen"), "prints")
+        about = [length_class_of("words").alias("cls"), "words", "kept", "text_id", "seen"]
+        plain = bodies.select(F.explode("fps").alias("fp"), *about, F.lit(None).cast(PARITIES).alias("sketch"), "gen")
+        self._write(plain.unionByName(bodies.select(F.explode("hot").alias("fp"), *about, "sketch", "gen")), "prints")
         self._filter(gens)
 
     def _filter(self, gens: list[int]) -> None:
@@ -306,41 +348,49 @@ class HistoryStore:
         """The rows (fp, cls, text_id, words, gen) that a Bloom filter of an earlier or the own generation may hold."""
         return probe.withColumn("part", self.part()).groupBy("part").cogroup(self.blooms().groupBy("part")).applyInPandas(bloom_test, "fp bigint, cls int, text_id bigint, words int, gen int")
 
-    def check(self, arrivals: DataFrame, bodies: DataFrame) -> DataFrame:
+    def check(self, arrivals: DataFrame, bodies: DataFrame, work: str) -> DataFrame:
         """Arrivals known already: rows (arrival_id, reason) with reason 'identifier', 'body' or 'near'.
 
         arrivals: arrival_id, digest, sha256, body (NULL without text), seen, gen.
-        bodies: one row per distinct body of a batch, narrowed (body, words, asked, text_id, seen, gen).
+        bodies: one row per distinct body of a batch, narrowed (body, words, sketch, asked, text_id, seen, gen).
         Both are written tables and their generations are in the store already: what arrived earlier, in an
         earlier batch or in the same, makes an arrival known; later generations are left aside.
+        work: folder for the tables on the way, which the result reads.
         """
         own = exact_keys(arrivals, ["arrival_id", "seen", "gen"], body=True)
         asked = bodies.select(F.explode("asked").alias("fp"), length_class_of("words").alias("cls"), "text_id", "words", "gen")
         probe = asked.unionByName(own.select("fp", F.lit(EXACT).alias("cls"), F.lit(None).cast("bigint").alias("text_id"), F.lit(None).cast("int").alias("words"), "gen"))
-        hits = runtime.written(self.prescreen(probe), runtime.new_dir(self.spark, "hits"))
+        hits = runtime.written(self.prescreen(probe), f"{work}/hits")
 
         exact = hits.filter(F.col("cls") == EXACT).select("fp").distinct()
         first = runtime.join_small(self.keys(), exact, ["fp"], "left_semi").groupBy("fp", "check").agg(F.min("seen").alias("first"))
         by_key = own.join(first, ["fp", "check"]).filter(F.col("first") < F.col("seen"))
         by_key = by_key.select("arrival_id", F.when(F.col("kind") == "b", "body").otherwise("identifier").alias("reason"))
 
-        other = self.prints().select("fp", "cls", *(F.col(c).alias(f"o_{c}") for c in ("words", "kept", "text_id", "seen", "gen")))
+        other = self.prints().select("fp", "cls", *(F.col(c).alias(f"o_{c}") for c in ("words", "kept", "text_id", "seen", "gen", "sketch")))
         content = hits.filter(F.col("cls") != EXACT)
-        pairs = runtime.join_small(other, content, ["fp", "cls"], rows=runtime.BROADCAST_ROWS // 2)
-        pairs = pairs.filter((F.col("text_id") != F.col("o_text_id")) & (F.col("o_gen") <= F.col("gen")))
         longer = F.greatest("words", "o_words")
         limit = F.floor(longer / EDIT_SHARE).cast("int")
+        rare = runtime.join_small(other.filter(F.col("o_sketch").isNull()).drop("o_sketch"), content, ["fp", "cls"], rows=runtime.BROADCAST_ROWS // 2)
+        # common windows bring many together: those whose words differ too much go before they are shuffled
+        hot = other.filter(F.col("o_sketch").isNotNull())
+        common = runtime.written(hot.select("fp", "cls").distinct(), f"{work}/common")
+        asked = runtime.join_small(content, common, ["fp", "cls"], "left_semi").join(bodies.select("text_id", "gen", "sketch"), ["text_id", "gen"])
+        met = runtime.join_small(asked, hot, ["fp", "cls"], rows=runtime.BROADCAST_ROWS // 4, salt=SALT)
+        met = met.filter(turned("sketch", "o_sketch") <= 2 * limit).drop("sketch", "o_sketch")
+        pairs = rare.unionByName(met)
+        pairs = pairs.filter((F.col("text_id") != F.col("o_text_id")) & (F.col("o_gen") <= F.col("gen")))
         # an edit destroys one kept window at most, so all others must be shared
         pairs = pairs.groupBy("text_id", "words", "gen", "o_text_id", "o_words", "o_kept", "o_gen").agg(F.count("*").alias("shared"), F.min("o_seen").alias("o_seen"))
         pairs = pairs.filter((longer - F.least("words", "o_words") <= limit) & (F.col("shared") >= F.greatest(F.lit(1), F.col("o_kept") - limit)))
         pairs = pairs.groupBy("text_id", "o_text_id").agg(F.min("o_seen").alias("o_seen"), F.max("shared").alias("shared"))
-        pairs = runtime.written(pairs, runtime.new_dir(self.spark, "pairs"))
-        near = self.verified(pairs, bodies).groupBy("text_id").agg(F.min("o_seen").alias("near_seen")).join(bodies.select("text_id", "body").distinct(), "text_id")
+        pairs = runtime.written(pairs, f"{work}/pairs")
+        near = self.verified(pairs, bodies, work).groupBy("text_id").agg(F.min("o_seen").alias("near_seen")).join(bodies.select("text_id", "body").distinct(), "text_id")
         by_text = arrivals.select("arrival_id", "seen", "body").join(near, "body").filter(F.col("near_seen") < F.col("seen")).select("arrival_id", F.lit("near").alias("reason"))
         rank = F.when(F.col("reason") == "identifier", 3).when(F.col("reason") == "body", 2).otherwise(1)
         return by_key.unionByName(by_text).groupBy("arrival_id").agg(F.max_by("reason", rank).alias("reason"))
 
-    def verified(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, bodies: DataFrame, work: str) -> DataFrame:
         """The near ones of pairs (text_id, o_text_id, o_seen, shared), as far as they matter.
 
         In a family of near copies each has all others as candidates: the likeliest of those seen before a body
@@ -349,7 +399,7 @@ class HistoryStore:
         arrived = bodies.groupBy("text_id").agg(F.min("seen").alias("arrived"))
         earlier = pairs.join(arrived, "text_id").filter(F.col("o_seen") < F.col("arrived"))
         best = earlier.groupBy("text_id").agg(F.max_by(F.struct("o_text_id", "o_seen"), F.struct("shared", "o_text_id")).alias("o")).select("text_id", "o.o_text_id", "o.o_seen")
-        sure = runtime.written(self.verify(best), runtime.new_dir(self.spark, "sure"))
+        sure = runtime.written(self.verify(best), f"{work}/sure")
         rest = runtime.join_small(pairs, sure.select("text_id"), ["text_id"], "left_anti")
         return sure.unionByName(self.verify(rest.select("text_id", "o_text_id", "o_seen")))
 
@@ -409,7 +459,7 @@ def dedup_batches(captures: DataFrame, incoming: DataFrame, blobs: DataFrame, pa
         marks = captures.select("store_path").filter(F.col("store_path").isNotNull()).distinct()
         old = features(stored).join(marks, "store_path", "left_semi").withColumn("seen", never)
         history_keys = exact_keys(captures.select("sha256", "digest"), []).withColumn("seen", never)
-        store.load(history_keys.select("fp", "check", "seen"), old.select("body", "words", "fps", "text_id", "seen"))
+        store.load(history_keys.select("fp", "check", "seen"), old.select("body", "words", "sketch", "fps", "text_id", "seen"))
 
     # the batches at hand, in order, are the generations after the last
     numbers = sorted({LAST if r.batch_no is None else r.batch_no for r in incoming.select("batch_no").distinct().collect()})  # one row per batch
@@ -418,14 +468,17 @@ def dedup_batches(captures: DataFrame, incoming: DataFrame, blobs: DataFrame, pa
     arrivals = arrivals.withColumn("gen", F.col("seen.batch"))
     new_paths = arrivals.select("store_path").filter(F.col("store_path").isNotNull()).distinct()
     fresh = store.narrowed(features(runtime.join_small(stored, new_paths, ["store_path"], "left_semi"), query=True))
-    fresh = runtime.written(fresh, runtime.new_dir(spark, "fresh"))
-    placed = runtime.written(arrivals.join(fresh.select("store_path", "text_id", "body"), "store_path", "left"), runtime.new_dir(spark, "arrivals"))
+    work = runtime.new_dir(spark, "work")
+    fresh = runtime.written(fresh, f"{work}/fresh")
+    placed = runtime.written(arrivals.join(fresh.select("store_path", "text_id", "body"), "store_path", "left"), f"{work}/arrivals")
     first = placed.filter(F.col("body").isNotNull()).groupBy("gen", "body").agg(F.min("seen").alias("seen"))
-    one = fresh.groupBy("body").agg(*(F.min_by(c, "text_id").alias(c) for c in ("words", "fps", "asked", "kept")), F.min("text_id").alias("text_id"))
-    bodies = runtime.written(first.join(one, "body"), runtime.new_dir(spark, "bodies"))
+    one = fresh.groupBy("body").agg(*(F.min_by(c, "text_id").alias(c) for c in ("words", "sketch", "fps", "hot", "asked", "kept")), F.min("text_id").alias("text_id"))
+    bodies = runtime.written(first.join(one, "body"), f"{work}/bodies")
+    runtime.remove(spark, f"{work}/fresh")
     # all rows that arrived count as seen, so the generations of all batches at hand can be added at once;
     # check() lets each batch see its own and earlier generations only
     gens = [r.gen for r in placed.select("gen").distinct().collect()]  # one row per batch
-    store.append(gens, exact_keys(placed, ["seen", "gen"], body=True).select("fp", "check", "seen", "gen"), bodies.select("body", "words", "fps", "kept", "text_id", "seen", "gen"))
-    known = runtime.written(store.check(placed, bodies), runtime.new_dir(spark, "known"))
+    store.append(gens, exact_keys(placed, ["seen", "gen"], body=True).select("fp", "check", "seen", "gen"), bodies.select("body", "words", "sketch", "fps", "hot", "kept", "text_id", "seen", "gen"))
+    known = runtime.written(store.check(placed, bodies, work), runtime.new_dir(spark, "known"))
+    runtime.remove(spark, work)
     return incoming.select("arrival_id", "batch_no").join(known, "arrival_id", "left")
