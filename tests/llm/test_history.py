@@ -182,6 +182,13 @@ def test_an_edit_turns_two_parities_at_most():
             assert sum(int(x).bit_count() for x in a ^ b) <= 2 * brute_distance(body, copy)
 
 
+def test_remembered_words_stay_few():
+    """Workers keep them beside the groups of later stages: a million took an executor over its memory on large tables."""
+    ids = W.WordIds()
+    some = [ids[f"word{i}"] for i in range(250_000)]
+    assert len(ids) <= 100_001 and [ids[f"word{i}"] for i in range(50)] == some[:50]
+
+
 def test_store_used_again(spark, rows, monkeypatch):
     """A second call opens the store as it was written, parts included, and reads no captures."""
     path, old = runtime.new_dir(spark, "again"), [text(i, 80) for i in range(40)]

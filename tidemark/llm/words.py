@@ -12,11 +12,14 @@ K = 5  # words in a shingle
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+MOST_IDS = 100_000  # a worker keeps them from task to task, some 170 bytes each
+
+
 class WordIds(dict):
-    """64-bit ids of words, remembered; emptied when it holds a million words."""
+    """64-bit ids of words, remembered; emptied when it holds more than MOST_IDS words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > MOST_IDS:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v
