@@ -333,9 +333,10 @@ class HistoryStore:
         generation.
         """
         self._write(keys.groupBy("gen", "fp", "check").agg(F.min("seen").alias("seen")), "keys")
-        about = [length_class_of("words").alias("cls"), "words", "kept", "text_id", "seen"]
-        plain = bodies.select(F.explode("fps").alias("fp"), *about, F.lit(None).cast(PARITIES).alias("sketch"), "gen")
-        self._write(plain.unionByName(bodies.select(F.explode("hot").alias("fp"), *about, "sketch", "gen")), "prints")
+        plain = F.transform("fps", lambda x: F.struct(x.alias("fp"), F.lit(None).cast(PARITIES).alias("sketch")))
+        hot = F.transform("hot", lambda x: F.struct(x.alias("fp"), F.col("sketch").alias("sketch")))
+        prints = bodies.select(F.explode(F.concat(plain, hot)).alias("p"), length_class_of("words").alias("cls"), "words", "kept", "text_id", "seen", "gen")
+        self._write(prints.select("p.fp", "cls", "words", "kept", "text_id", "seen", "p.sketch", "gen"), "prints")
         self._filter(gens)
 
     def _filter(self, gens: list[int]) -> None:
